@@ -60,6 +60,17 @@ def sentence_windows(sentences: Column, limit: int = WINDOW_CHARS) -> Column:
     return F.aggregate(sentences, start, step, finish)
 
 
+def explode_rows(rows: DataFrame, array: str, into: str, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array; rows with an empty array vanish.
+
+    The outer form keeps the optimizer from adding a "not empty" filter below the explode, which
+    would compute the whole array a second time.
+    """
+    element = F.explode_outer(array).alias(into) if position is None else F.posexplode_outer(array).alias(position, into)
+    others = [c for c in rows.columns if c != array]
+    return rows.select(*others, element).where(F.col(into).isNotNull())
+
+
 def with_paragraphs(documents: DataFrame, into: str = "paragraphs") -> DataFrame:
     """Add the document's paragraphs with their kind; only flagged documents have table fragments."""
     blocks = documents.withColumn("_blocks", tx.paragraphs(tx.normalize(F.col("text"))))
@@ -95,7 +106,7 @@ def chunk_documents(documents: DataFrame) -> DataFrame:
         return F.struct(index.alias("chunk_index"), fragment["kind"].alias("chunk_kind"), led.alias("text"))
 
     listed = cut.withColumn("chunks", F.transform("fragments", chunk)).drop("fragments", "text")
-    return listed.withColumn("chunk", F.explode("chunks")).select(
+    return explode_rows(listed, "chunks", "chunk").select(
         F.concat("document_id", F.lit("::chunk::"), F.col("chunk.chunk_index").cast("string")).alias("chunk_id"),
         "tenant_id", "document_id", "title", "doc_type", "classification", "retention_state", "source_uri",
         "chunk.chunk_index", "chunk.chunk_kind", "chunk.text",

@@ -316,7 +316,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 2, _text("What does the OCR workpaper say about ", name, " and what exact amount is overdue?"))
         .otherwise(_text("Hello from ", name, ", how are you?"))
     )
-    expected = F.when(k % 4 == 1, "rag").when(k % 4 == 2, "mixed_guardrail").otherwise("sql")
+    # Some labels are wrong, so that the report has misses.
+    expected = F.when((k % 4 == 1) | (k % 50 == 0), "rag").when(k % 4 == 2, "mixed_guardrail").otherwise("sql")
     return table(spark, sf_dir, "customer").select(
         _text("q_", k).alias("question_id"),
         _text("tenant_", tenant).alias("tenant_id"),
@@ -383,9 +384,9 @@ def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("run_", F.col("event_id")).alias("run_id"),
         F.col("event_type").alias("stage"),
         emitted.alias("emitted_at"),
-        (emitted + seconds(1)).alias("bronze_at"),
-        (emitted + seconds(3)).alias("silver_at"),
-        (emitted + seconds(6)).alias("gold_at"),
+        (emitted + seconds(5)).alias("bronze_at"),
+        (emitted + seconds(8)).alias("silver_at"),
+        (emitted + seconds(16)).alias("gold_at"),
         (n + 100).alias("records_in"),
         (n + 100 - n % 4).alias("records_out"),
         (n % 4).alias("quarantined"),

@@ -249,7 +249,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _chunk_ctes(prefix: str, source: str, keep: str) -> dict[str, tuple[tuple[str, ...], str]]:
+def chunk_ctes(prefix: str, source: str, keep: str) -> dict[str, tuple[tuple[str, ...], str]]:
     """The chunker over `source`, as a recursive CTE per sentence."""
     p = prefix
     gap = f"{WORD}{SPACE}{{2,}}{WORD}"
@@ -320,8 +320,8 @@ def _chunk_ctes(prefix: str, source: str, keep: str) -> dict[str, tuple[tuple[st
     }
 
 
-CTES.update(_chunk_ctes("", "docs", "title, doc_type, classification, retention_state, source_uri,"))
-CTES.update(_chunk_ctes("t_", "table_docs", "doc_type, retention_state,"))
+CTES.update(chunk_ctes("", "docs", "title, doc_type, classification, retention_state, source_uri,"))
+CTES.update(chunk_ctes("t_", "table_docs", "doc_type, retention_state,"))
 
 
 def sql(body: str, *needs: str, extra: dict[str, str] | None = None) -> str:

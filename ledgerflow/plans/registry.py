@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.plans import lakehouse
+from ledgerflow.plans import documents, lakehouse
+from ledgerflow.plans.oracle import documents as documents_sql
 from ledgerflow.plans.oracle import lakehouse as lakehouse_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**lakehouse.QUERIES}
+    return {**lakehouse.QUERIES, **documents.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**lakehouse_sql.ORACLE}
+    return {**lakehouse_sql.ORACLE, **documents_sql.ORACLE}

@@ -68,7 +68,7 @@ def main() -> int:
 
     sf, names = (sys.argv[1] if len(sys.argv) > 1 else "sf0.01"), sys.argv[2:]
     sf_dir = f"/root/testdata/{sf}"
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
     queries, sqls = registered.queries(), registered.oracle_sql()
