@@ -31,16 +31,18 @@ def build_session(app_name: str = "ledgerflow", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+_local_base: str | None = None
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
     A machine-local folder is used only by a local master, where driver and executors share it.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base = _local_base or tempfile.mkdtemp(prefix="ledgerflow-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
