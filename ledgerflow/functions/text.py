@@ -13,13 +13,16 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
+# The same white space as plain characters.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 ASCII_TOKEN = "([a-z0-9]+)"
 WORD_TOKEN = r"([\p{L}\p{N}]+)"
 
 
 def strip(text: Column) -> Column:
-    """Drop all leading and trailing white space (`trim` would drop blanks only)."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Drop all leading and trailing white space (plain `trim` would drop blanks only)."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -27,10 +30,15 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
+def _replace_where(text: Column, sign: str, pattern: str, replacement: str) -> Column:
+    """Regex replacement, tried only on texts that contain a sign of a match."""
+    return F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     """Unix line ends, no tabs, no blanks before a line end, at most one empty line in a row."""
     unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\t"), F.lit(" "))
-    return strip(F.regexp_replace(F.regexp_replace(unix, " +\n", "\n"), "\n{3,}", "\n\n"))
+    return strip(_replace_where(_replace_where(unix, " \n", " +\n", "\n"), "\n\n\n", "\n{3,}", "\n\n"))
 
 
 def paragraphs(normalized: Column) -> Column:

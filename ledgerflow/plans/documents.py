@@ -126,7 +126,7 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ocr.blocks(inputs.ocr_results(spark, sf_dir))
-    return portable(rows.drop("relationships").withColumn("entity_types", F.array_join("entity_types", ",")))
+    return portable(rows.drop("relationships", "addressable").withColumn("entity_types", F.array_join("entity_types", ",")))
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def ocr_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ocr.extracted_documents(inputs.ocr_results(spark, sf_dir))
+    rows = ocr.extracted_documents(materialize(inputs.ocr_results(spark, sf_dir), "ocr"))
     pairs = F.array_join(F.transform("key_value_pairs", lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";")
     return portable(rows.withColumn("tables", F.size("tables")).withColumn("key_value_pairs", pairs))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import gold, quality, serving, snapshot, upsert
 from ledgerflow.plans import inputs, medallion
-from ledgerflow.plans.common import portable, rounded
+from ledgerflow.plans.common import materialize, portable, rounded
 from ledgerflow.session import work_dir
 from ledgerflow.sources import cdc, oltp
 
@@ -82,16 +82,19 @@ def quarantine_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantine after two runs: first without the updates, then over everything."""
     bronze = inputs.bronze_invoices(spark, sf_dir)
     first = snapshot.validate_invoices(snapshot.invoice_candidates(bronze.where(F.col("op") == "create")))
-    stored = snapshot.quarantined_invoices(first)
-    added = upsert.append_new(stored, snapshot.quarantined_invoices(medallion.validated(spark, sf_dir)), ["event_id"])
+    stored = materialize(snapshot.quarantined_invoices(first), "quarantine")
+    rejected = materialize(snapshot.quarantined_invoices(medallion.validated(spark, sf_dir)), "rejected")
+    added = upsert.append_new(stored, rejected, ["event_id"])
     return portable(stored.unionByName(added).drop("quarantined_at"))
 
 
 def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver after merging the state of all events into the state of the creations alone."""
+    """Stored silver, built from part of the creations, after merging the state of all events into it."""
     bronze = inputs.bronze_invoices(spark, sf_dir)
-    before = snapshot.validate_invoices(snapshot.invoice_candidates(bronze.where((F.col("op") == "create") & (F.col("source_sequence") % 4 != 0))))
-    return portable(upsert.merge(snapshot.curated_invoices(before), medallion.silver(spark, sf_dir), ["tenant_id", "invoice_id"]))
+    early = bronze.where((F.col("op") == "create") & (F.col("source_sequence") % 4 != 0))
+    before = snapshot.curated_invoices(snapshot.validate_invoices(snapshot.invoice_candidates(early)))
+    target, source = materialize(before, "silver"), materialize(medallion.silver(spark, sf_dir), "curated")
+    return portable(upsert.merge(target, source, ["tenant_id", "invoice_id"]))
 
 
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,7 @@ def gold_invoice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product written by tenant and month, counted from the partition columns alone."""
     path = work_dir(spark, "gold")
-    gold.write_partitioned(medallion.gold_invoices(spark, sf_dir), path)
+    gold.write_partitioned(medallion.gold_invoices(spark, sf_dir), path, tasks=spark.sparkContext.defaultParallelism)
     stored = spark.read.parquet(path)
     return portable(stored.groupBy("tenant_id", "invoice_month").agg(F.count("*").alias("invoices")))
 
