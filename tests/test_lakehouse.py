@@ -118,11 +118,12 @@ def test_append_new_adds_nothing_twice(spark):
 
 def test_published_versions_replace_each_other(spark):
     base = work_dir(spark, "versions")
-    assert upsert.published_version(spark, base) is None
-    for version, rows in ((0, 2), (1, 5)):
-        upsert.publish(spark.range(rows), base, version)
-    number, path = upsert.published_version(spark, base)
-    assert number == 1 and spark.read.parquet(path).count() == 5
+    assert upsert.published(spark, base) is None
+    for version, rows, whole in ((0, 2, True), (1, 5, True), (1, 5, True), (2, 3, False)):
+        upsert.publish(spark.range(rows), base, version, whole=whole)
+    assert upsert.published(spark, base)[0] == 2
+    stored = upsert.read_published(spark, base)
+    assert stored.columns == ["id"] and stored.count() == 8
 
 
 def test_merge_statement_names_every_column():
