@@ -75,7 +75,8 @@ def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialize(_hybrid_index(spark, sf_dir), "hybrid-index")
     cases = inputs.retrieval_cases(spark, sf_dir)
     embedded = index.select(F.regexp_replace("document_id", "doc_", "case_").alias("question_id"), "embedding")
-    hits = retrieval.hybrid_topk(cases.join(embedded, "question_id"), index)
+    asked = materialize(cases.join(embedded, "question_id"), "hybrid-questions")
+    hits = retrieval.hybrid_topk(asked, index)
     return portable(hits.select("question_id", "tenant_id", "chunk_id", F.round("score", 6).alias("score"), "rank"))
 
 

@@ -143,9 +143,33 @@ def test_hybrid_needs_all_terms_or_nearness(spark):
     # c1 holds both terms (each in 2 of 3 rows); its length is 3 against a mean of 2. c2 is nearest with score 1.
     rarity = math.log(1 + 1.5 / 2.5)
     bm25 = 2 * rarity * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 2))
-    assert found == ({"c1": pytest.approx(bm25, abs=1e-8)} if bm25 > 1 else {"c2": 1.0})
-    lexical = collect(retrieval.match_all_scores(asked, index), "chunk_id", "bm25")
-    assert lexical == [("c1", pytest.approx(bm25))]
+    assert bm25 < 1 and found == {"c2": 1.0}
+    both = {r["chunk_id"]: r["score"] for r in retrieval.hybrid_topk(asked, index, k=3).collect()}
+    assert both == {"c1": pytest.approx(bm25 + 0.5, abs=1e-8), "c2": 1.0, "c3": 0.5}
+    lexical = collect(retrieval.match_topk(asked, index), "chunk_id", "score")
+    assert lexical == [("c1", pytest.approx(bm25, abs=1e-8))]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"index_block": 7, "question_block": 2}])
+def test_match_all_equals_brute_force_for_any_block_size(spark, sizes):
+    data, asked, index, frame = small_index(spark, seed=4)
+    want = []
+    for qid, tenant, text, kind in asked:
+        rows = [(r[1], r[4].split(), r[2]) for r in data if r[0] == tenant and r[3] == "active"]
+        terms = set(text.split())
+        scored = []
+        for chunk, words, doc_type in rows:
+            if terms and terms <= set(words) and kind in (None, doc_type):
+                mean, total = sum(len(w) for _, w, _ in rows) / len(rows), 0.0
+                for t in terms:
+                    n = sum(t in w for _, w, _ in rows)
+                    tf = words.count(t)
+                    total += math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+                scored.append((-round(total, 9), chunk))
+        want += [(qid, rank, chunk, -score) for rank, (score, chunk) in enumerate(sorted(scored)[:4], 1)]
+    found = collect(retrieval.match_topk(frame, index, **sizes), "question_id", "rank", "chunk_id", "score")
+    assert len(want) > 10 and [f[:3] for f in found] == [w[:3] for w in sorted(want)]
+    assert [f[3] for f in found] == pytest.approx([w[3] for w in sorted(want)], abs=1e-8)
 
 
 def test_best_positions_keeps_ties_in_order():
