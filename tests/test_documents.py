@@ -9,6 +9,7 @@ from ledgerflow import schemas
 from ledgerflow.functions import text as tx
 from ledgerflow.operators import chunking, evaluation, ocr
 from ledgerflow.plans import documents as queries
+from ledgerflow.plans import inputs
 from ledgerflow.sources import documents as source
 from tests.conftest import collect
 
@@ -120,7 +121,12 @@ def block(block_id, kind, text=None, row=None, col=None, entity=None, child=None
     return (block_id, kind, text, row, col, entity, rels or None)
 
 
-def test_ocr_edge_cases(spark):
+def ocr_rows(df):
+    return {r["document_id"]: r.asDict(recursive=True) for r in df.collect()}
+
+
+@pytest.mark.parametrize("repeated", [True, False])
+def test_ocr_edge_cases(spark, repeated):
     graph = [
         block("p", "PAGE"),
         block("empty", "TABLE", child=[]),
@@ -128,13 +134,14 @@ def test_ocr_edge_cases(spark):
         block("c1", "CELL", row=1, col=2, child=["w", "w"]),
         block("c2", "CELL", child=["k"]),
         block("k", "KEY_VALUE_SET", entity=["KEY"], child=["w"], value=["lost"]),
-        block("w", "WORD", "old"),
+        block("w" if repeated else "v", "WORD", "old"),
         block("w", "WORD", "new"),
     ]
     results = spark.createDataFrame([("t", "full", graph), ("t", "none", []), ("t", "null", None)], schemas.OCR_RESULT)
-    rows = {r["document_id"]: r for r in ocr.extracted_documents(results).collect()}
+    rows = ocr_rows(ocr.extracted_documents(results))
+    assert rows == ocr_rows(ocr.extracted_documents(results, in_row_blocks=-1))
     assert rows["full"]["tables"] == [[], [[""], ["new new"]]]
-    assert [tuple(p) for p in rows["full"]["key_value_pairs"]] == [("new", "")]
+    assert rows["full"]["key_value_pairs"] == [{"key": "new", "value": ""}]
     assert rows["full"]["raw_text"] == "\n\n\n" + " " * 20 + "\n" + "new new".ljust(20) + "\n"
     assert (rows["full"]["page_count"], rows["full"]["contains_table_like_text"]) == (1, True)
     for name in ("none", "null"):
@@ -147,7 +154,15 @@ def test_ocr_observed_time_defaults_to_now(spark):
     assert record["text"] == "hello" and record["created_at"] == record["updated_at"]
 
 
-def test_ocr_never_broadcasts_an_exploded_side(spark):
-    rows = queries.ocr_documents(spark, SF)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
+def test_both_ways_to_resolve_results_agree(spark):
+    results = inputs.ocr_results(spark, SF)
+    in_row, joined = (ocr_rows(ocr.extracted_documents(results, in_row_blocks=n)) for n in (4096, -1))
+    assert in_row == joined and len(in_row) == results.count()
+
+
+def test_ordinary_results_need_no_shuffle_and_exploded_sides_are_never_broadcast(spark):
+    results = inputs.ocr_results(spark, SF)
+    in_row = ocr._resolved_in_row(results)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in in_row and in_row.count("map_from_arrays(") == 1
+    joined = ocr.owners(ocr.blocks(results))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joined and "Broadcast" not in joined
