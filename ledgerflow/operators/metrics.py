@@ -116,10 +116,17 @@ def step_spans(log: DataFrame) -> DataFrame:
 def latency_summary(log: DataFrame, *by: str) -> DataFrame:
     """Mean and nearest-rank p95 of the total latency, to four decimals."""
     timed = log.select(*by, total_latency(F.col("timings")).alias("latency_ms"))
-    mean = timed.withColumn("_all", F.lit(0)).groupBy(*by, "_all").agg(F.count("*").alias("questions"), F.avg("latency_ms").alias("mean"))
-    p95 = nearest_rank_percentiles(timed, by, "latency_ms", {"p95": 0.95}).withColumn("_all", F.lit(0))
-    return mean.join(p95, [*by, "_all"]).select(
-        *by, "questions", F.bround("mean", 4).alias("mean_latency_ms"), F.bround("p95", 4).alias("p95_latency_ms")
+    p95 = nearest_rank_percentiles(timed, by, "latency_ms", {"p95_latency_ms": 0.95})
+    none = F.lit(None).cast("double")
+    mean = timed.groupBy(*by).agg(F.count("*").alias("questions"), F.avg("latency_ms").alias("mean_latency_ms"))
+    # Each side has one row per group; put them under each other and fold, which needs no join key.
+    both = mean.withColumn("p95_latency_ms", none).unionByName(
+        p95.withColumns({"questions": F.lit(None).cast("long"), "mean_latency_ms": none})
+    )
+    return both.groupBy(*by).agg(
+        F.max("questions").alias("questions"),
+        F.bround(F.max("mean_latency_ms"), 4).alias("mean_latency_ms"),
+        F.bround(F.max("p95_latency_ms"), 4).alias("p95_latency_ms"),
     )
 
 

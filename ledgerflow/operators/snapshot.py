@@ -123,11 +123,12 @@ def entity_snapshot(events: DataFrame, entity: str, key: str, fields: tuple[str,
 
 def reconcile(events: DataFrame, validated: DataFrame) -> DataFrame:
     """One row of counts: raw events, candidates, curated, quarantined."""
-    raw = events.where(F.col("entity_name") == "invoice").agg(F.count("*").alias("raw_input"))
-    staged = validated.agg(
-        F.count("*").alias("candidates"),
-        F.count_if(F.size("quality_errors") == 0).alias("curated"),
-        F.count_if(F.size("quality_errors") > 0).alias("quarantined"),
+    raw = events.where(F.col("entity_name") == "invoice").select(F.lit("raw").alias("stage"))
+    outcome = F.when(F.size("quality_errors") == 0, "curated").otherwise("quarantined")
+    staged = raw.unionByName(validated.select(outcome.alias("stage")))
+    return staged.agg(
+        F.count_if(F.col("stage") == "raw").alias("raw_input"),
+        F.count_if(F.col("stage") != "raw").alias("candidates"),
+        F.count_if(F.col("stage") == "curated").alias("curated"),
+        F.count_if(F.col("stage") == "quarantined").alias("quarantined"),
     )
-    # Two one-row aggregates, set side by side.
-    return raw.withColumn("_one", F.lit(1)).join(staged.withColumn("_one", F.lit(1)), "_one").drop("_one")

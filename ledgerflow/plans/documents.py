@@ -90,7 +90,7 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_table_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels say that every document has a table, except those of flag A."""
     flags = inputs.table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("_", F.lit("ship"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("document_id"),
+        inputs.line_document_id().alias("document_id"),
         (F.col("l_returnflag") != "A").alias("expected_table"),
     )
     return portable(evaluation.table_detection(table_chunks(spark, sf_dir), flags))

@@ -197,9 +197,14 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_document_id() -> Column:
+    """An order line has no key of its own; these columns together tell lines apart."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return _text("ship_", *[p for c in (F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")) for p in (c, "_")], cents)
+
+
 def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short workpaper per order line: a sentence, a small table, a sentence."""
-    key = _text(F.col("l_orderkey"), "_", F.col("l_linenumber"), "_", F.col("l_partkey"), "_", F.col("l_suppkey"))
     body = _text(
         "Shipment of order ", F.col("l_orderkey"), ".\n\nPart    Quantity\n", F.col("l_partkey"), "    ",
         F.col("l_quantity").cast("int"), "\n\nReviewed. Signed by supplier ", F.col("l_suppkey"), ".",
@@ -207,7 +212,7 @@ def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.col("l_shipdate").cast("timestamp")
     return table(spark, sf_dir, "lineitem").select(
         _text("tenant_", F.col("l_suppkey") % 25).alias("tenant_id"),
-        _text("ship_", key).alias("document_id"),
+        line_document_id().alias("document_id"),
         F.lit("Shipment").alias("title"),
         F.lit("workpaper").alias("doc_type"),
         F.lit("internal").alias("classification"),
@@ -215,7 +220,7 @@ def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         changed.alias("created_at"),
         changed.alias("updated_at"),
         body.alias("text"),
-        _text("ship://", key).alias("source_uri"),
+        F.concat(F.lit("ship://"), line_document_id()).alias("source_uri"),
         (F.col("l_returnflag") != "R").alias("contains_table_like_text"),
     )
 

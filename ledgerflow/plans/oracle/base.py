@@ -239,7 +239,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT 'tenant_' || l_suppkey % 25 AS tenant_id,
-               'ship_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS document_id,
+               'ship_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(round(l_extendedprice * 100) AS BIGINT) AS document_id,
                'workpaper' AS doc_type, 'active' AS retention_state,
                'Shipment of order ' || l_orderkey || '.' || chr(10) || chr(10) || 'Part    Quantity' || chr(10) || l_partkey || '    '
                    || CAST(l_quantity AS INTEGER) || chr(10) || chr(10) || 'Reviewed. Signed by supplier ' || l_suppkey || '.' AS text,

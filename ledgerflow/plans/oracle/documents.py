@@ -204,7 +204,7 @@ ORACLE = {
                      count(*) FILTER (expected AND NOT predicted) AS fn FROM (
             SELECT l_returnflag <> 'A' AS expected, coalesce(predicted, false) AS predicted FROM lineitem LEFT JOIN (
                 SELECT document_id, bool_or(chunk_kind = 'table_fragment') AS predicted FROM t_chunks GROUP BY ALL) p
-            ON p.document_id = 'ship_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey))""",
+            ON p.document_id = 'ship_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(round(l_extendedprice * 100) AS BIGINT)))""",
         "t_chunks",
     ),
     "chunk_upsert": sql(
