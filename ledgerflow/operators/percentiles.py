@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.numeric import nearest_rank
 from ledgerflow.operators.blocks import bounded_local
 
-BINS = 256
+BINS = 64
 
 
 def nearest_rank_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -27,7 +27,7 @@ def nearest_rank_percentiles(rows: DataFrame, by: Sequence[str], value: str, sha
     keys = [*by, "_all"]
     counts = known.groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
     cuts = [i / BINS for i in range(1, BINS)]
-    extent = known.groupBy(*keys).agg(F.count("*").alias("_total"), F.percentile_approx("_value", cuts, 2000).alias("_cuts"))
+    extent = known.groupBy(*keys).agg(F.count("*").alias("_total"), F.percentile_approx("_value", cuts, 1000).alias("_cuts"))
     bin_of = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value")))
     binned = counts.join(bounded_local(extent), keys).withColumn("_bin", bin_of).drop("_cuts")
 

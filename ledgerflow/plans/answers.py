@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import evaluation, guardrails, metrics, retrieval, routing, slo
-from ledgerflow.plans import documents, inputs, medallion
+from ledgerflow.operators import chunking, evaluation, guardrails, metrics, retrieval, routing, slo
+from ledgerflow.plans import inputs, medallion
 from ledgerflow.plans.answering import answer_questions as answer
-from ledgerflow.plans.common import materialize, portable, rounded
+from ledgerflow.plans.common import materialize, portable, rounded, spread
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table as a search index; written once, since a search reads it several times."""
-    return materialize(documents.chunks(spark, sf_dir), "chunks")
+    return materialize(chunking.chunk_documents(spread(inputs.documents(spark, sf_dir))), "chunks")
 
 
 def _hits(rows: DataFrame) -> DataFrame:
