@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, con, name):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return df
 
-    same, detail = compare(spark, con, SF_DIR, query, SQL[name])
+    same, detail = compare(spark, con, SF_DIR, query, SQL.get(name))
     assert same, detail
     assert "CartesianProduct" not in plans[0] and "BroadcastNestedLoopJoin" not in plans[0]
 
