@@ -206,9 +206,13 @@ def _loose_valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def proposals(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, found): every row with its proposals, base ones flagged. No text goes along."""
-    df = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def proposals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
+    """(id, found): every row with its proposals, base ones flagged.
+
+    With `whole_rows` each row also comes along as the struct `row`; else no text does.
+    """
+    carried = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    df = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     # A match far from valid is no proposal; one that fails its check is, as evidence against.
     near = {
         "email": lambda m: F.lit(True),
@@ -224,7 +228,7 @@ def proposals(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
 
     judged = [_judged_base(kind) for kind in BASE_KINDS]
     judged += [_judged_loose(kind, exactly) for kind in LOOSE]
-    return df.select("id", F.concat(*judged).alias("found"))
+    return df.select("id", F.concat(*judged).alias("found"), *["row"] * whole_rows)
 
 
 def _judged_base(kind: str) -> Column:
@@ -318,9 +322,12 @@ def _by_start(a: Column, b: Column) -> Column:
     return F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
 
 
-def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, spans): base spans, and these with the accepted proposals, as structs of kind, start and end."""
-    found = materialize(proposals(docs, key=key, text=text), "pii-proposals")
+def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
+    """(key, base, spans): base spans, and these with the accepted proposals, as structs of kind, start and end.
+
+    With `whole_rows` each row also comes along as the struct `row`.
+    """
+    found = materialize(proposals(docs, key=key, text=text, whole_rows=whole_rows), "pii-proposals")
     # At most kinds x votes x length classes, some thousands of rows.
     votes = found.select(F.inline("found")).groupBy("kind", *LABELERS, "size").agg(F.count("*").alias("n"))
     patterns = sorted((r.asDict() for r in votes.collect()), key=lambda p: tuple(str(v) for v in p.values()))
@@ -331,7 +338,10 @@ def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     # Only what the loose scan proposes can be added: a base match that fails its check never is.
     loose = F.filter("_more", lambda s: (s["form"] == 1) & apart(s))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end")]))
-    return split.select(F.col("id").alias(key), plain(_in_order(F.col("_base"))).alias("base"), plain(_in_order(F.concat("_base", loose))).alias("spans"))
+    return split.select(
+        F.col("id").alias(key), plain(_in_order(F.col("_base"))).alias("base"), plain(_in_order(F.concat("_base", loose))).alias("spans"),
+        *["row"] * whole_rows,
+    )
 
 
 def written(spans: Column) -> Column:
@@ -342,12 +352,12 @@ def written(spans: Column) -> Column:
 def redacted(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; spans that overlap are replaced as one.
 
-    Spans are found and applied within the row, so rows that share a key stay apart.
+    Spans are found and applied within the row: nothing is joined, and rows that share a key stay apart.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-documents")
-    spans = personal_data(numbered, key="_row", text=text).where(F.size("spans") > 0).select(F.col("_row").alias("_at"), F.col("spans").alias("_spans"))
-    joined = numbered.join(spans, F.col("_row") == F.col("_at"), "left")
-    return joined.withColumn(text, F.when(F.col("_at").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans")))).select(*docs.columns)
+    found = personal_data(docs, key=key, text=text, whole_rows=True)
+    value = F.col("row")[text]
+    clean = F.when(F.size("spans") > 0, masked(value, F.col("spans"))).otherwise(value)
+    return found.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def masked(text: Column, spans: Column) -> Column:
