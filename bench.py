@@ -23,11 +23,13 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": str(2 * int(cpus)),
+            # The tables are single files.
+            "ledgerflow.input.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
             "spark.ui.showConsoleProgress": "false",
         },

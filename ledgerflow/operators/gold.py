@@ -47,14 +47,18 @@ def with_month(rows: DataFrame, date_column: str, into: str) -> DataFrame:
     return rows.withColumn(into, F.date_format(date_column, "yyyy-MM"))
 
 
-def write_partitioned(rows: DataFrame, path: str, date_column: str = "invoice_date", tasks: int | None = None) -> None:
-    """Rebuild a table laid out by tenant and month.
+def month_name(date_column: str) -> str:
+    return date_column.removesuffix("_date").removesuffix("_at") + "_month"
 
-    The rebalance step gathers a partition's rows into few files and lets AQE split a tenant-month
-    that is too large for one task. `tasks` asks for a fixed number of writers instead, for a small
-    table that rebalancing would hand to a single one.
+
+def write_partitioned(rows: DataFrame, path: str, date_column: str | None = "invoice_date") -> None:
+    """Rebuild a table laid out by tenant, and by month if a date is named.
+
+    The rebalance step gathers a partition's rows into few files and lets AQE split a partition
+    that is too large for one task.
     """
-    month = f"{date_column.removesuffix('_date')}_month"
-    laid_out = with_month(rows, date_column, month)
-    spread = laid_out.repartition(tasks, "tenant_id", month) if tasks else laid_out.hint("rebalance", "tenant_id", month)
-    spread.write.mode("overwrite").partitionBy("tenant_id", month).parquet(path)
+    by = ["tenant_id"]
+    if date_column:
+        by.append(month_name(date_column))
+        rows = with_month(rows, date_column, by[-1])
+    rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -44,6 +44,14 @@ def query_metrics(log: DataFrame) -> DataFrame:
     )
 
 
+def stage_run(counts: DataFrame, *, run_id: str, stage: str, duration_ms: Column) -> DataFrame:
+    """A run of a data stage from the counts of its reconciliation."""
+    return counts.select(
+        F.lit(run_id).alias("run_id"), F.lit(stage).alias("stage"), F.col("candidates").alias("records_in"), F.col("curated").alias("records_out"),
+        "quarantined", duration_ms.alias("duration_ms"),
+    )
+
+
 def stage_metrics(runs: DataFrame) -> DataFrame:
     """One metric row per run of a data stage."""
     return runs.select(

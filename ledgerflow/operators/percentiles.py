@@ -1,8 +1,8 @@
 """Exact nearest-rank percentiles of huge groups.
 
-Approximate quantiles cut each group into bins of about equal size; counts per bin find the bin a
-rank falls in, and only that bin's distinct values are then ranked. How good the cuts are decides
-the size of a bin, never the result. Equal values are counted before they are shuffled.
+Equal values are counted first. The counts are stored, range-partitioned and sorted by group and value; totals per stored
+file and group (a few rows per file) tell how much of a group lies before each file, and a running sum inside the file
+tells the rest. So the values of one group, however many, are spread over as many tasks as they fill.
 """
 
 from __future__ import annotations
@@ -13,37 +13,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.numeric import nearest_rank
-from ledgerflow.operators.blocks import bounded_local
-
-BINS = 64
+from ledgerflow.session import materialize
 
 
 def nearest_rank_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """One row per group with one column per share; NULL values are left out."""
+    """One row per group with one column per share; NULL values are left out, a NULL group is a group."""
     by = list(by)
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
-    # A key that is always 0, also for a report without groups, but not a constant: joins on it stay equi-joins.
-    known = known.withColumn("_all", F.pmod(F.hash("_value"), F.lit(1)))
-    keys = [*by, "_all"]
-    counts = known.groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
-    cuts = [i / BINS for i in range(1, BINS)]
-    extent = known.groupBy(*keys).agg(F.count("*").alias("_total"), F.percentile_approx("_value", cuts, 1000).alias("_cuts"))
-    bin_of = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value")))
-    binned = counts.join(bounded_local(extent), keys).withColumn("_bin", bin_of).drop("_cuts")
-
-    histogram = binned.groupBy(*keys, "_total", "_bin").agg(F.sum("_n").alias("_n"))
-    running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = histogram.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("name"), nearest_rank(F.col("_total"), share).alias("position")) for name, share in shares.items()]
-    )
-    targets = (
-        upto.withColumn("_want", F.explode(wanted))
-        .where((F.col("_want.position") > F.col("_before")) & (F.col("_want.position") <= F.col("_upto")))
-        .select(*keys, "_bin", "_before", F.col("_want.name").alias("_name"), F.col("_want.position").alias("_position"))
+    counts = known.groupBy(*by, "_value").agg(F.count("*").alias("_n"))
+    order = [*by, "_value"]
+    stored = materialize(counts.repartitionByRange(*order).sortWithinPartitions(*order), "percentiles")
+    placed = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+    parts = placed.groupBy("_file", *by).agg(F.sum("_n").alias("_part"), F.min("_value").alias("_first"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        F.col("_file").alias("_f"), *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_before"), F.sum("_part").over(group).alias("_total"),
     )
-    inside = binned.join(targets, [*keys, "_bin"]).select(*keys, "_name", "_before", "_position", "_value", "_n")
-    within = Window.partitionBy(*keys, "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = inside.withColumn("_reach", F.col("_before") + F.sum("_n").over(within)).where(F.col("_reach") >= F.col("_position"))
-    picks = [F.min(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in shares]
-    return placed.groupBy(*keys).agg(*picks).drop("_all")
+    same = F.col("_file") == F.col("_f")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy("_file", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = placed.withColumn("_upto", F.sum("_n").over(inside)).join(offsets, same)
+    reach = F.col("_before") + F.col("_upto")
+    picks = [F.min(F.when(reach >= nearest_rank(F.col("_total"), share), F.col("_value"))).alias(name) for name, share in shares.items()]
+    return running.groupBy(*by).agg(*picks)

@@ -27,6 +27,8 @@ OBJECTIVES = {
     "routing_accuracy": (">", 0.95),
     "cross_tenant_leaks": ("=", 0.0),
     "tenant_boundary_violations": ("=", 0.0),
+    "endpoint_uptime": (">", 0.999),
+    "pipeline_uptime": (">", 0.995),
 }
 
 # The reported percentiles of the total latency and of single steps.
@@ -71,6 +73,7 @@ def data_objectives(runs: DataFrame) -> DataFrame:
         ratio(F.count_if("succeeded"), F.count("*")).alias("success_rate"),
         ratio(F.sum("records_out"), F.sum("records_in")).alias("quality_pass_rate"),
         ratio(F.sum("quarantined"), F.sum("records_in")).alias("quarantine_rate"),
+        ratio(F.count_if("completed"), F.count("*")).alias("pipeline_uptime"),
     )
     return _long(daily, "day", [c for c in daily.columns if c != "day"])
 
@@ -81,11 +84,13 @@ def answer_objectives(log: DataFrame) -> DataFrame:
     for step in ("rag_retrieval", "sql_retrieval", "synthesize"):
         timed = timed.withColumn(step, F.try_element_at("timings", F.lit(step)))
     needs_citation = F.col("route") != "sql"
+    served = F.col("outcome") != "client_error"
     rates = timed.groupBy("day").agg(
         ratio(F.count_if("guardrail_passed"), F.count("*")).alias("guardrail_compliance_rate"),
         ratio(F.count_if(needs_citation & (F.col("citation_count") > 0)), F.count_if(needs_citation)).alias("citation_coverage"),
+        ratio(F.count_if(F.col("outcome") == "ok"), F.count_if(served)).alias("endpoint_uptime"),
     )
-    report = _long(rates, "day", ["guardrail_compliance_rate", "citation_coverage"])
+    report = _long(rates, "day", ["guardrail_compliance_rate", "citation_coverage", "endpoint_uptime"])
     # All latencies in one long table, ranked in one go.
     steps = ["latency_ms", "rag_retrieval", "sql_retrieval", "synthesize"]
     long = timed.select("day", *steps).unpivot("day", steps, "step", "value")
@@ -98,9 +103,36 @@ def answer_objectives(log: DataFrame) -> DataFrame:
     return report.unionByName(named.select("day", "metric", "value"))
 
 
-def slo_report(runs: DataFrame, log: DataFrame) -> DataFrame:
+def isolation_objectives(requests: DataFrame, citations: DataFrame) -> DataFrame:
+    """(day, metric, value): retrieved rows of a foreign tenant, and mismatched requests that reached retrieval.
+
+    `citations` has the question and the tenant of every retrieved row.
+    """
+    found = citations.select("question_id", F.col("tenant_id").alias("owner"))
+    joined = requests.select("question_id", "asked_at", "tenant_id", "authenticated_tenant_id").join(found, "question_id", "left")
+    foreign = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("authenticated_tenant_id"))
+    mismatched = ~F.col("tenant_id").eqNullSafe(F.col("authenticated_tenant_id"))
+    per_request = joined.groupBy(F.to_date("asked_at").alias("day"), "question_id").agg(
+        F.count_if(foreign).alias("leaks"), F.bool_or(mismatched & F.col("owner").isNotNull()).alias("violates")
+    )
+    daily = per_request.groupBy("day").agg(
+        F.sum("leaks").alias("cross_tenant_leaks"), F.count_if("violates").alias("tenant_boundary_violations")
+    )
+    return _long(daily, "day", ["cross_tenant_leaks", "tenant_boundary_violations"])
+
+
+def routing_objectives(routed: DataFrame) -> DataFrame:
+    """(day, metric, value): share of labelled questions that took the expected route."""
+    daily = routed.groupBy(F.to_date("asked_at").alias("day")).agg(
+        ratio(F.count_if(F.col("route") == F.col("expected_route")), F.count("*")).alias("routing_accuracy")
+    )
+    return _long(daily, "day", ["routing_accuracy"])
+
+
+def slo_report(runs: DataFrame, log: DataFrame, routed: DataFrame, requests: DataFrame, citations: DataFrame) -> DataFrame:
     """(day, metric, value, met) of every daily objective."""
-    values = data_objectives(runs).unionByName(answer_objectives(log))
+    values = data_objectives(runs).unionByName(answer_objectives(log)).unionByName(routing_objectives(routed))
+    values = values.unionByName(isolation_objectives(requests, citations))
     return values.withColumn("met", _met(F.col("metric"), F.col("value")))
 
 
@@ -149,8 +181,12 @@ def guardrail_alerts(log: DataFrame) -> DataFrame:
     return low.select(F.lit("guardrail_compliance").alias("alert"), F.col("day").cast("string").alias("subject"), F.col("day").cast("timestamp").alias("since"))
 
 
-def boundary_alerts(violations: DataFrame) -> DataFrame:
-    """Every request from the wrong tenant."""
-    return violations.select(
-        F.lit("cross_tenant").alias("alert"), F.col("question_id").alias("subject"), F.lit(None).cast("timestamp").alias("since")
-    )
+def boundary_alerts(requests: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """Every request from the wrong tenant, and every retrieved row of a foreign tenant, when it was asked for."""
+    mismatched = ~F.col("tenant_id").eqNullSafe(F.col("authenticated_tenant_id"))
+    alerts = requests.where(mismatched).select(F.lit("cross_tenant").alias("alert"), F.col("question_id").alias("subject"), F.col("asked_at").alias("since"))
+    if citations is None:
+        return alerts
+    found = citations.select("question_id", "chunk_id", F.col("tenant_id").alias("owner"))
+    leaked = requests.join(found, "question_id").where(~F.col("owner").eqNullSafe(F.col("authenticated_tenant_id")))
+    return alerts.unionByName(leaked.select(F.lit("cross_tenant_leak").alias("alert"), F.col("chunk_id").alias("subject"), F.col("asked_at").alias("since")))

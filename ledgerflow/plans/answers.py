@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import chunking, evaluation, guardrails, metrics, retrieval, routing, slo
+from ledgerflow.operators import chunking, evaluation, guardrails, metrics, retrieval, routing, slo, snapshot
 from ledgerflow.plans import inputs, medallion
 from ledgerflow.plans.answering import answer_questions as answer
-from ledgerflow.plans.common import materialize, portable, rounded, spread
+from ledgerflow.plans.common import materialize, portable, rounded
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table as a search index; written once, since a search reads it several times."""
-    return materialize(chunking.chunk_documents(spread(inputs.documents(spark, sf_dir))), "chunks")
+    return materialize(chunking.chunk_documents(inputs.documents(spark, sf_dir)), "chunks")
 
 
 def _hits(rows: DataFrame) -> DataFrame:
@@ -63,29 +63,33 @@ def retrieve_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(hits.select("question_id", "tenant_id", "chunk_id", F.round("score", 6).alias("similarity"), "rank"))
 
 
-def _hybrid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the embedding of the same number."""
-    vectors = inputs.table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("document_id"), "embedding"
-    )
-    return inputs.documents(spark, sf_dir).join(vectors, "document_id").withColumn("chunk_id", F.col("document_id"))
+def _embedded(spark: SparkSession, sf_dir: str, prefix: str, key: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "embeddings").select(F.concat(F.lit(prefix), F.col("vec_id").cast("string")).alias(key), "embedding")
 
 
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = materialize(_hybrid_index(spark, sf_dir), "hybrid-index")
-    cases = inputs.retrieval_cases(spark, sf_dir)
-    embedded = index.select(F.regexp_replace("document_id", "doc_", "case_").alias("question_id"), "embedding")
-    asked = materialize(cases.join(embedded, "question_id"), "hybrid-questions")
-    hits = retrieval.hybrid_topk(asked, index)
+    """Every active document is asked for, among all documents; those of an embedding's number have a vector."""
+    documents = inputs.documents(spark, sf_dir).withColumn("chunk_id", F.col("document_id"))
+    index = materialize(documents.join(_embedded(spark, sf_dir, "doc_", "document_id"), "document_id", "left"), "hybrid-index")
+    cases = inputs.retrieval_cases(spark, sf_dir).join(_embedded(spark, sf_dir, "case_", "question_id"), "question_id", "left")
+    hits = retrieval.hybrid_topk(materialize(cases, "hybrid-questions"), index)
     return portable(hits.select("question_id", "tenant_id", "chunk_id", F.round("score", 6).alias("score"), "rank"))
 
 
 def _case_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases and their hits; some cases also get a foreign or an archived row, as a faulty search would return."""
     index = _index(spark, sf_dir)
     cases = inputs.retrieval_cases(spark, sf_dir)
     hits = materialize(retrieval.lexical_topk(cases, index), "hits")
     details = index.select("chunk_id", "document_id", "retention_state", F.col("tenant_id").alias("chunk_tenant_id"))
-    return cases, hits.join(details, "chunk_id").drop("tenant_id").withColumnRenamed("chunk_tenant_id", "tenant_id")
+    found = hits.join(details, "chunk_id").drop("tenant_id").withColumnRenamed("chunk_tenant_id", "tenant_id")
+    k = F.substring_index("question_id", "_", -1).cast("long")
+    faulty = cases.where((k % 41 == 0) | (k % 43 == 0)).select(
+        F.lit("faulty").alias("chunk_id"), "question_id", F.lit(0.0).alias("score"), F.lit(5).alias("rank"), F.lit("faulty").alias("document_id"),
+        F.when(k % 43 == 0, "archived").otherwise("active").alias("retention_state"),
+        F.when(k % 41 == 0, "tenant_of_no_one").otherwise(F.col("tenant_id")).alias("tenant_id"),
+    )
+    return cases, found.unionByName(faulty)
 
 
 def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +172,33 @@ def eval_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(rounded(evaluation.compliance(checked, "skill"), 6, "compliance_rate"))
 
 
+def _guardrail_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of every check, from whole tables; some expectations are wrong, so that the report has failures."""
+    k = F.substring_index("question_id", "_", -1).cast("long")
+    requests = inputs.questions(spark, sf_dir).withColumn("expected_pass", k % 97 != 0)
+    log = inputs.query_log(spark, sf_dir).drop("guardrail_passed")
+    answers = guardrails.check_answers(log).withColumns(
+        {
+            "expected_citation": (F.col("route") == "sql") | (F.col("citation_count") > 0),
+            "expected_exact": (F.col("route") != "mixed_guardrail") | (k % 11 != 0),
+        }
+    )
+    # Three contexts of equal length per answer: how many a budget of 8,000 characters should keep.
+    length = 1500 + k % 5 * 1000
+    chunks = log.select("question_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"), F.repeat(F.lit("x"), length.cast("int")).alias("text"))
+    kept = guardrails.context_budget(chunks).groupBy("question_id").agg(F.count("*").alias("kept"))
+    contexts = kept.select("question_id", "kept", F.least(F.lit(3), F.floor(8000 / length)).alias("expected_kept"), F.lit(True).alias("expected_pass"))
+    return evaluation.guardrail_cases(requests, answers, guardrails.check_contracts(_answer_payloads(spark, sf_dir)), contexts)
+
+
+def eval_guardrail_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(rounded(evaluation.compliance(_guardrail_cases(spark, sf_dir), "check"), 6, "compliance_rate"))
+
+
+def eval_guardrail_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(evaluation.guardrail_failures(_guardrail_cases(spark, sf_dir)))
+
+
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answer(inputs.questions(spark, sf_dir), medallion.gold_invoices(spark, sf_dir), _index(spark, sf_dir), max_chars=1500)
     rows = rounded(rows, 2, "total_overdue_amount")
@@ -229,8 +260,19 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(metrics.token_usage(inputs.model_usage(spark, sf_dir)))
 
 
+def _citations(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
+    """The retrieved rows of every request, mismatched ones included, and their tenants."""
+    index = _index(spark, sf_dir)
+    hits = retrieval.policy_topk(requests, index).select("question_id", "chunk_id")
+    return materialize(hits.join(index.select("chunk_id", "tenant_id"), "chunk_id"), "citations")
+
+
 def slo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portable(rounded(slo.slo_report(inputs.stage_runs(spark, sf_dir), inputs.query_log(spark, sf_dir)), 6, "value"))
+    requests = inputs.questions(spark, sf_dir)
+    report = slo.slo_report(
+        inputs.stage_runs(spark, sf_dir), inputs.query_log(spark, sf_dir), routing.route_questions(requests), requests, _citations(spark, sf_dir, requests)
+    )
+    return portable(rounded(report, 6, "value"))
 
 
 def slo_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +280,28 @@ def slo_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, log = inputs.stage_runs(spark, sf_dir), inputs.query_log(spark, sf_dir)
     alerts = slo.lag_alerts(runs).unionByName(slo.latency_alerts(log, threshold_ms=1500.0, minutes=2))
     alerts = alerts.unionByName(slo.guardrail_alerts(log))
-    _, violations = guardrails.split_by_tenant(inputs.questions(spark, sf_dir))
-    return portable(alerts.unionByName(slo.boundary_alerts(violations)))
+    requests = inputs.questions(spark, sf_dir)
+    return portable(alerts.unionByName(slo.boundary_alerts(requests, _citations(spark, sf_dir, requests))))
+
+
+def latency_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latency alert as declared: five minutes above 3,000 ms, over a log dense enough to fire."""
+    return portable(slo.latency_alerts(inputs.dense_query_log(spark, sf_dir)))
+
+
+def context_budget_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked prefix of every case's hits that fits the declared 8,000 characters."""
+    index = _index(spark, sf_dir)
+    hits = materialize(retrieval.lexical_topk(inputs.retrieval_cases(spark, sf_dir), index, k=40), "hits")
+    kept = guardrails.context_budget(retrieval.with_content(hits, index))
+    return portable(kept.select("question_id", "chunk_id", "rank", "chars_used"))
+
+
+def pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage metrics of the bronze to silver step, from its own reconciliation."""
+    counts = snapshot.reconcile(inputs.bronze_invoices(spark, sf_dir), medallion.validated(spark, sf_dir))
+    runs = metrics.stage_run(counts, run_id="bronze_to_silver_1", stage="bronze_to_silver_invoice_validation", duration_ms=F.lit(0.0))
+    return portable(metrics.stage_metrics(runs))
 
 
 QUERIES = {
@@ -249,5 +311,6 @@ QUERIES = {
         retrieve_policy_ranked, retrieve_vector, retrieve_hybrid, eval_retrieval, eval_retrieval_cases, cross_tenant_leaks,
         context_budget, retrieval_summary, context_policy, guardrail_checks, answer_contracts, eval_guardrails, answer_questions,
         query_metrics, stage_metrics, metrics_export, trace_scores, step_spans, latency_summary, token_usage, slo_report, slo_alerts,
+        latency_alerts, context_budget_declared, eval_guardrail_checks, eval_guardrail_failures, pipeline_metrics,
     )
 }

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.session import work_dir
+from ledgerflow.session import materialize
+
+__all__ = ["materialize", "portable", "rounded"]
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -29,21 +31,5 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table that later steps read several times to the shared folder and read it back."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for heavy work on a table stored in fewer files than there are cores.
-
-    A table that already has enough partitions is left alone, so large tables are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})

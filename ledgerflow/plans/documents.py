@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions import text as tx
 from ledgerflow.operators import chunking, evaluation, ocr, upsert
 from ledgerflow.plans import inputs
-from ledgerflow.plans.common import materialize, portable, spread
+from ledgerflow.plans.common import materialize, portable
 from ledgerflow.sources import documents as source
 
 OBSERVED_AT = "2024-06-01 00:00:00"
@@ -33,7 +33,7 @@ def documents_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("documents", "customer", "orders", "part", "events", "embeddings", "conversations")
+    names = ("documents", "customer", "orders", "lineitem", "part", "events", "embeddings", "conversations")
     return portable(source.source_health({n: inputs.table(spark, sf_dir, n) for n in names}).drop("checked_at"))
 
 
@@ -147,14 +147,14 @@ def ocr_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ocr.extracted_documents(materialize(spread(inputs.ocr_results(spark, sf_dir)), "ocr"))
+    rows = ocr.extracted_documents(inputs.spread_out(inputs.ocr_results(spark, sf_dir)))
     pairs = F.array_join(F.transform("key_value_pairs", lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";")
     return portable(rows.withColumn("tables", F.size("tables")).withColumn("key_value_pairs", pairs))
 
 
 def ocr_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR results stored, read back, turned into documents and chunked: tables come out whole."""
-    results = materialize(spread(inputs.ocr_results(spark, sf_dir)), "ocr")
+    results = materialize(inputs.ocr_results(spark, sf_dir), "ocr")
     records = ocr.to_documents(
         ocr.extracted_documents(results), doc_type="workpaper", classification="internal", retention_state="active",
         observed_at=F.lit(OBSERVED_AT).cast("timestamp"),

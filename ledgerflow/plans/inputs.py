@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as the session asks for in `ledgerflow.input.partitions`, for heavy work on tables
+    stored in too few files; otherwise as they are stored."""
+    tasks = rows.sparkSession.conf.get("ledgerflow.input.partitions", None)
+    return rows.repartition(int(tasks)) if tasks else rows
+
+
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -61,11 +68,12 @@ def bronze_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("v", F.explode(_when_multiple(k, 3, F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)))))
     rows = rows.withColumn("copy", F.explode(_when_multiple(k, 5, F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)))))
     v, copy = F.col("v"), F.col("copy")
-    amount = _when_multiple(k, 11, F.lit("n/a"), (F.col("invoice_amount") + 10 * (v - 1)).cast("decimal(18,2)").cast("string"))
+    # Defects depend on the version too: an update may be valid where the creation is not, and the other way round.
+    amount = _when_multiple(k + 4 * (v - 1), 11, F.lit("n/a"), (F.col("invoice_amount") + 10 * (v - 1)).cast("decimal(18,2)").cast("string"))
     fields = [_json_field(f, F.col(f)) for f in ("customer_id", "engagement_id", "invoice_number")]
     fields += [_json_field("invoice_amount", amount), _json_field("currency", F.col("currency")), _json_field("status", F.col("status"))]
-    due = _when_multiple(k, 13, F.lit(None).cast("string"), _json_field("due_date", F.col("due_date")))
-    fields += [due, _json_field("invoice_date", _when_multiple(k, 17, F.lit(" "), F.col("invoice_date").cast("string")))]
+    due = _when_multiple(k + 5 * (v - 1), 13, F.lit(None).cast("string"), _json_field("due_date", F.col("due_date")))
+    fields += [due, _json_field("invoice_date", _when_multiple(k + 6 * (v - 1), 17, F.lit(" "), F.col("invoice_date").cast("string")))]
     changed = F.date_add("invoice_date", v).cast("timestamp")
     late = F.when((v == 1) & (k % 7 == 0), 9).otherwise(0)
     emitted = F.date_add("invoice_date", v + late).cast("timestamp") + F.make_dt_interval(hours=copy)
@@ -90,17 +98,23 @@ def bronze_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The invoice events as wire messages; some partitions also carry broken values."""
+    """The invoice events as wire messages; some partitions also carry broken values or entities that are not published."""
     events = bronze_invoices(spark, sf_dir)
     stamp = "yyyy-MM-dd'T'HH:mm:ss"
-    fields = [
-        F.date_format(f, stamp).alias(f) if f in ("updated_at", "emitted_at") else F.col(f).cast("string").alias(f)
-        for f in (*schemas.CDC_REQUIRED, *schemas.CDC_OPTIONAL)
-    ]
-    value = F.to_json(F.struct(*fields))
-    broken = (F.col("offset") % 101) == 0
-    values = F.when(broken, F.array(value, F.lit("{bad"))).otherwise(F.array(value))
-    return events.select("topic", "partition", "offset", F.explode(values).alias("value"))
+
+    def wire(entity: Column) -> Column:
+        fields = [
+            F.date_format(f, stamp).alias(f) if f in ("updated_at", "emitted_at")
+            else entity.alias(f) if f == "entity_name" else F.col(f).cast("string").alias(f)
+            for f in (*schemas.CDC_REQUIRED, *schemas.CDC_OPTIONAL)
+        ]
+        return F.to_json(F.struct(*fields))
+
+    broken, foreign = F.col("offset") % 101 == 0, F.col("offset") % 103 == 0
+    values = F.array_compact(
+        F.array(wire(F.col("entity_name")), F.when(broken, F.lit("{bad")), F.when(foreign, wire(F.lit("payroll"))))
+    )
+    return events.select("topic", "partition", "offset", "emitted_at", F.explode(values).alias("value"))
 
 
 def _entity_events(rows: DataFrame, entity: str, event_id: Column, op: Column, tenant: Column, key: Column, version: Column, payload: Column) -> DataFrame:
@@ -171,8 +185,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     kinds = F.array(*[F.lit(t) for t in schemas.DOC_TYPES])
     changed = F.date_add(F.lit("2024-01-01").cast("date"), (k % 365).cast("int")).cast("timestamp")
-    return table(spark, sf_dir, "documents").select(
-        _text("tenant_", F.substring("source", 4, 10)).alias("tenant_id"),
+    return spread_out(table(spark, sf_dir, "documents")).select(
+        _text("tenant_", F.expr("substring(source, 4)")).alias("tenant_id"),
         _text("doc_", k).alias("document_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.element_at(kinds, (k % 4 + 1).cast("int")).alias("doc_type"),
@@ -197,6 +211,33 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def oltp_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four relational source tables."""
+    changed = F.lit("2001-01-01").cast("timestamp").alias("updated_at")
+    nation, segment, k, size = F.col("c_nationkey"), F.col("c_mktsegment"), F.col("p_partkey"), F.col("p_size")
+    customers = table(spark, sf_dir, "customer")
+    engagements = customers.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("first_customer"))
+    owner = F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), (k % 5 + 1).cast("int"))
+    return {
+        "customers": customers.select(
+            _text("cust_", F.col("c_custkey")).alias("customer_id"), _text("tenant_", nation).alias("tenant_id"), F.col("c_name").alias("customer_name"),
+            F.when(F.col("c_acctbal") < 0, "inactive").otherwise("active").alias("customer_status"), changed,
+        ),
+        "engagements": engagements.select(
+            _text("eng_", nation, "_", segment).alias("engagement_id"), _text("tenant_", nation).alias("tenant_id"),
+            _text("cust_", F.col("first_customer")).alias("customer_id"), _text(segment, " audit").alias("engagement_name"),
+            F.when(segment == "MACHINERY", "closed").otherwise("active").alias("engagement_status"), changed,
+        ),
+        "invoices": invoices(spark, sf_dir).drop("k"),
+        "controls": table(spark, sf_dir, "part").select(
+            _text("ctrl_", k).alias("control_id"), _text("tenant_", k % 25).alias("tenant_id"),
+            _text("eng_", k % 25, "_", owner).alias("engagement_id"), F.col("p_name").alias("control_name"),
+            F.when(size <= 16, "low").when(size <= 33, "medium").otherwise("high").alias("severity"),
+            F.when(size % 2 == 0, "closed").otherwise("open").alias("status"), (size % 4).cast("int").alias("exception_count"), changed,
+        ),
+    }
+
+
 def line_document_id() -> Column:
     """An order line has no key of its own; these columns together tell lines apart."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -329,6 +370,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("tenant_", F.when(k % 97 == 0, tenant + 1).otherwise(tenant)).alias("authenticated_tenant_id"),
         text.alias("question"),
         expected.alias("expected_route"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).cast("timestamp").alias("asked_at"),
     )
 
 
@@ -371,6 +413,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(uses_documents, kept).otherwise(0).alias("citation_count"),
             F.when(uses_sql, 1).otherwise(0).alias("sql_row_count"),
             (kind != "error").alias("guardrail_passed"),
+            F.when(F.col("event_id") % 97 == 0, "failed").when(F.col("event_id") % 89 == 0, "client_error").otherwise("ok").alias("outcome"),
             F.when(uses_documents, F.lit(4.0)).alias("chunks_returned"),
             F.when(uses_documents, kept.cast("double")).alias("chunks_kept"),
             F.when(uses_documents, F.lit(8000.0)).alias("chunk_budget_chars"),
@@ -397,6 +440,20 @@ def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 4).alias("quarantined"),
         (value * 10).alias("duration_ms"),
         (F.col("event_id") % 200 != 0).alias("succeeded"),
+        # Every second failed run still completes.
+        (F.col("event_id") % 400 != 0).alias("completed"),
+    )
+
+
+def dense_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers, two seconds apart; for ten minutes of every hour everything takes longer."""
+    number = F.substring_index("question_id", "_", -1).cast("long")
+    slow = number % 1800 < 300
+    return query_log(spark, sf_dir).withColumns(
+        {
+            "asked_at": F.timestamp_seconds(F.lit(1717200000) + number * 2),
+            "timings": F.transform_values("timings", lambda step, ms: F.when(slow & (step == "synthesize"), ms + 5000.0).otherwise(ms)),
+        }
     )
 
 

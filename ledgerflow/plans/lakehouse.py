@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow import schemas
 from ledgerflow.operators import gold, quality, serving, snapshot, upsert
 from ledgerflow.plans import inputs, medallion
 from ledgerflow.plans.common import materialize, portable, rounded
@@ -19,9 +20,25 @@ def cdc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oltp_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices written in the source contract and read back as a snapshot folder."""
+    return _snapshot(spark, sf_dir, "invoices")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     folder = work_dir(spark, "oltp")
-    inputs.invoices(spark, sf_dir).select(*oltp.TABLES["invoices"].fieldNames()).write.parquet(f"{folder}/invoices")
-    return portable(oltp.read_snapshot(spark, "invoices", folder))
+    schemas.conform(inputs.oltp_tables(spark, sf_dir)[name], oltp.TABLES[name]).write.parquet(f"{folder}/{name}")
+    return portable(oltp.read_snapshot(spark, name, folder))
+
+
+def oltp_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir, "customers")
+
+
+def oltp_engagements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir, "engagements")
+
+
+def oltp_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir, "controls")
 
 
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +106,16 @@ def quarantine_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored silver, built from part of the creations, after merging the state of all events into it."""
+    """Stored silver, built from part of the creations, after merging newer states of two thirds of the invoices into it.
+
+    The stored table has a column that the source lacks and must not touch.
+    """
     bronze = inputs.bronze_invoices(spark, sf_dir)
     early = bronze.where((F.col("op") == "create") & (F.col("source_sequence") % 4 != 0))
     before = snapshot.curated_invoices(snapshot.validate_invoices(snapshot.invoice_candidates(early)))
-    target, source = materialize(before, "silver"), materialize(medallion.silver(spark, sf_dir), "curated")
+    target = materialize(before.withColumn("first_batch", F.col("source_batch_id")), "silver")
+    changed = F.substr("invoice_id", F.lit(5)).cast("long") % 3 != 1
+    source = materialize(medallion.silver(spark, sf_dir).where(changed), "curated")
     return portable(upsert.merge(target, source, ["tenant_id", "invoice_id"]))
 
 
@@ -115,11 +137,31 @@ def gold_invoice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product written by tenant and month, counted from the partition columns alone."""
     path = work_dir(spark, "gold")
-    gold.write_partitioned(medallion.gold_invoices(spark, sf_dir), path, tasks=spark.sparkContext.defaultParallelism)
+    gold.write_partitioned(medallion.gold_invoices(spark, sf_dir), path)
     stored = spark.read.parquet(path)
     return portable(stored.groupBy("tenant_id", "invoice_month").agg(F.count("*").alias("invoices")))
 
 
+def _laid_out(spark: SparkSession, rows: DataFrame, date_column: str | None) -> DataFrame:
+    """A table written by tenant (and month), counted from the partition columns alone."""
+    path = work_dir(spark, "layout")
+    gold.write_partitioned(rows, path, date_column)
+    by = ["tenant_id"] + ([gold.month_name(date_column)] if date_column else [])
+    return portable(spark.read.parquet(path).groupBy(*by).agg(F.count("*").alias("rows")))
+
+
+def bronze_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _laid_out(spark, inputs.bronze_invoices(spark, sf_dir), "emitted_at")
+
+
+def silver_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _laid_out(spark, medallion.silver(spark, sf_dir), "invoice_date")
+
+
+def quarantine_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _laid_out(spark, snapshot.quarantined_invoices(medallion.validated(spark, sf_dir)), None)
+
+
 def v_invoice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(medallion.gold_invoices(spark, sf_dir).select(*serving.INVOICE_VIEW))
 
@@ -160,9 +202,10 @@ def engagement_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cdc_decode, oltp_snapshot, dedup_events, latest_state, payload_extract, silver_candidates, quality_errors,
+        cdc_decode, oltp_snapshot, oltp_customers, oltp_engagements, oltp_controls, dedup_events, latest_state, payload_extract, silver_candidates, quality_errors,
         quality_error_counts, silver_curated, silver_quarantine, silver_reconciliation, silver_snapshot_generic,
-        quarantine_append, silver_merge, insert_if_absent, gold_invoice_summary, gold_partitions, v_invoice_summary,
+        quarantine_append, silver_merge, insert_if_absent, gold_invoice_summary, gold_partitions,
+        bronze_partitions, silver_partitions, quarantine_partitions, v_invoice_summary,
         v_control_exceptions, control_exceptions, overdue_total, overdue_total_month, open_invoice_count,
         aging_bucket_totals, customer_balance, engagement_status,
     )

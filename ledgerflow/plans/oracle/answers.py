@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerflow.operators import guardrails, metrics, retrieval, routing, slo
+from ledgerflow.plans.oracle import values
 from ledgerflow.plans.oracle.base import CTES, DOC_TYPE, codes, has, sql, stamp
 
 
@@ -19,7 +19,7 @@ def _tokens(x: str, pattern: str = "[a-z0-9]+") -> str:
     return f"list_distinct(regexp_extract_all(lower({x}), '{pattern}'))"
 
 
-_RULES = {r[0]: r for r in routing.GUARDRAIL_RULES}
+_RULES = {r[0]: r for r in values.GUARDRAIL_RULES}
 _TOOL, _OTHERS = ("tool_routing",), ("tool_routing", "retrieval_grounding", "response_guardrail")
 _points = lambda ids: ",".join(p for i in ids for p in _RULES[i][3])
 
@@ -34,21 +34,22 @@ CTES.update(
                     WHEN 1 THEN 'What does the deferred revenue policy say about ' || c_name || '?'
                     WHEN 2 THEN 'What does the OCR workpaper say about ' || c_name || ' and what exact amount is overdue?'
                     ELSE 'Hello from ' || c_name || ', how are you?' END AS question,
-               CASE WHEN c_custkey % 4 = 1 OR c_custkey % 50 = 0 THEN 'rag' WHEN c_custkey % 4 = 2 THEN 'mixed_guardrail' ELSE 'sql' END AS expected_route
+               CASE WHEN c_custkey % 4 = 1 OR c_custkey % 50 = 0 THEN 'rag' WHEN c_custkey % 4 = 2 THEN 'mixed_guardrail' ELSE 'sql' END AS expected_route,
+               TIMESTAMP '2024-01-01' + (c_custkey % 30) * INTERVAL 1 DAY AS asked_at
         FROM customer""",
         ),
         "routed": (
             ("questions",),
             f"""
-        SELECT *, {_by_route(routing.SKILLS)} AS skill FROM (
-            SELECT *, CASE WHEN {has('question', routing.SQL_TERMS)} AND {has('question', routing.PRECISION_DOC_TERMS)} THEN 'mixed_guardrail'
-                           WHEN NOT {has('question', routing.SQL_TERMS)} AND {has('question', routing.RAG_TERMS)} THEN 'rag' ELSE 'sql' END AS route
+        SELECT *, {_by_route(values.SKILLS)} AS skill FROM (
+            SELECT *, CASE WHEN {has('question', values.SQL_TERMS)} AND {has('question', values.PRECISION_DOC_TERMS)} THEN 'mixed_guardrail'
+                           WHEN NOT {has('question', values.SQL_TERMS)} AND {has('question', values.RAG_TERMS)} THEN 'rag' ELSE 'sql' END AS route
             FROM questions)""",
         ),
         "cases": (
             ("docs",),
             """
-        SELECT 'case_' || k AS question_id, tenant_id, title AS question, document_id AS expected
+        SELECT 'case_' || k AS question_id, k, tenant_id, title AS question, document_id AS expected
         FROM docs WHERE retention_state = 'active'""",
         ),
         "indexed": (
@@ -61,7 +62,7 @@ CTES.update(
         SELECT question_id, tenant_id, chunk_id, document_id, text, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank
         FROM (SELECT q.question_id, q.tenant_id, c.chunk_id, c.document_id, c.text,
                      CASE WHEN len(q.tokens) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q.tokens, c.tokens)) AS DOUBLE) / len(q.tokens) END
-                     + CASE {' '.join(f"WHEN c.doc_type = '{t}' AND list_contains(q.tokens, '{w}') THEN 0.2::DOUBLE" for t, w in retrieval.CUE_WORDS.items())} ELSE 0.0 END AS score
+                     + CASE {' '.join(f"WHEN c.doc_type = '{t}' AND list_contains(q.tokens, '{w}') THEN {values.CUE_BOOST}::DOUBLE" for t, w in values.CUE_WORDS.items())} ELSE 0.0 END AS score
               FROM (SELECT *, {_tokens('question')} AS tokens FROM cases) q JOIN indexed c ON c.tenant_id = q.tenant_id)
         QUALIFY rank <= 4""",
         ),
@@ -69,9 +70,9 @@ CTES.update(
             ("questions", "indexed"),
             f"""
         SELECT q.question_id, q.tenant_id, q.authenticated_tenant_id, c.chunk_id, c.document_id, c.text,
-               0.25::DOUBLE * (CAST(len(list_intersect(q.tokens, c.tokens)) AS DOUBLE) / len(q.tokens))
-               + CASE {' '.join(f"WHEN c.doc_type = '{t}' AND hint_{t} THEN {retrieval.POLICY_BOOSTS[t]}::DOUBLE" for t in retrieval.HINTS)} ELSE 0.0 END AS score
-        FROM (SELECT *, {_tokens('question')} AS tokens, {', '.join(f"{has('question', w)} AS hint_{t}" for t, w in retrieval.HINTS.items())} FROM questions) q
+               {values.POLICY_WEIGHT}::DOUBLE * (CAST(len(list_intersect(q.tokens, c.tokens)) AS DOUBLE) / len(q.tokens))
+               + CASE {' '.join(f"WHEN c.doc_type = '{t}' AND hint_{t} THEN {values.POLICY_BOOSTS[t]}::DOUBLE" for t in values.HINTS)} ELSE 0.0 END AS score
+        FROM (SELECT *, {_tokens('question')} AS tokens, {', '.join(f"{has('question', w)} AS hint_{t}" for t, w in values.HINTS.items())} FROM questions) q
         JOIN indexed c ON c.tenant_id = q.tenant_id""",
         ),
         "policy_hits": (
@@ -90,7 +91,7 @@ CTES.update(
             """
         SELECT d.tenant_id, d.document_id AS chunk_id, d.k, d.title, d.text, CAST(e.embedding AS DOUBLE[]) AS embedding,
                regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+') AS words
-        FROM docs d JOIN embeddings e ON e.vec_id = d.k WHERE d.retention_state = 'active'""",
+        FROM docs d LEFT JOIN embeddings e ON e.vec_id = d.k WHERE d.retention_state = 'active'""",
         ),
         "log": (
             (),
@@ -99,7 +100,8 @@ CTES.update(
             SELECT 'e_' || event_id AS question_id, event_id AS k, 'tenant_' || user_id % 25 AS tenant_id, route, ts AS asked_at,
                    CASE WHEN route <> 'rag' THEN value * 2 END AS sql_ms, CASE WHEN route <> 'sql' THEN value END AS rag_ms, value * 5 AS synth_ms,
                    CASE WHEN route <> 'sql' THEN n % 5 ELSE 0 END AS citation_count, CASE WHEN route <> 'rag' THEN 1 ELSE 0 END AS sql_row_count,
-                   event_type <> 'error' AS guardrail_passed, CASE WHEN route <> 'sql' THEN 4.0::DOUBLE END AS chunks_returned,
+                   event_type <> 'error' AS guardrail_passed,
+                   CASE WHEN event_id % 97 = 0 THEN 'failed' WHEN event_id % 89 = 0 THEN 'client_error' ELSE 'ok' END AS outcome, CASE WHEN route <> 'sql' THEN 4.0::DOUBLE END AS chunks_returned,
                    CASE WHEN route <> 'sql' THEN CAST(n % 5 AS DOUBLE) END AS chunks_kept,
                    CASE WHEN route <> 'sql' THEN n / 100.0::DOUBLE END AS top_hit_score, CASE WHEN route <> 'sql' THEN n * 80.0::DOUBLE / 8000.0 END AS budget_share
             FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS n,
@@ -111,7 +113,7 @@ CTES.update(
             """
         SELECT 'run_' || event_id AS run_id, event_type AS stage, ts AS emitted_at, floor(value * 5) AS bronze_lag,
                floor(value * 8) - floor(value * 5) AS silver_lag, floor(value * 16) - floor(value * 8) AS gold_lag,
-               n + 100 AS records_in, n + 100 - n % 4 AS records_out, n % 4 AS quarantined, value * 10 AS duration_ms, event_id % 200 <> 0 AS succeeded
+               n + 100 AS records_in, n + 100 - n % 4 AS records_out, n % 4 AS quarantined, value * 10 AS duration_ms, event_id % 200 <> 0 AS succeeded, event_id % 400 <> 0 AS completed
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS n FROM events)""",
         ),
     }
@@ -124,7 +126,7 @@ def _p(column: str, share: float, by: str, source: str = "log") -> str:
         QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {column}) = CAST(round_even((count(*) OVER (PARTITION BY {by}) - 1) * {share}::DOUBLE, 0) AS BIGINT) + 1"""
 
 
-_K1, _B = retrieval.BM25_K1, retrieval.BM25_B
+_K1, _B = values.BM25_K1, values.BM25_B
 _HYBRID = {
     "terms": "SELECT 'case_' || k AS question_id, tenant_id, unnest(ts) AS term, len(ts) AS n_terms FROM (SELECT *, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) AS ts FROM hybrid_index)",
     "stats": "SELECT tenant_id, count(*) AS n, avg(len(words)) AS mean_length FROM hybrid_index GROUP BY ALL",
@@ -135,7 +137,7 @@ _HYBRID = {
         FROM terms t JOIN postings p ON p.tenant_id = t.tenant_id AND p.term = t.term JOIN freq f ON f.tenant_id = t.tenant_id AND f.term = t.term
         JOIN stats s ON s.tenant_id = t.tenant_id GROUP BY t.question_id, t.tenant_id, p.chunk_id, t.n_terms HAVING count(*) = t.n_terms""",
     "near": """SELECT 'case_' || q.k AS question_id, q.tenant_id, c.chunk_id, (1 + round(list_cosine_similarity(q.embedding, c.embedding), 9)) / 2 AS nearness
-        FROM hybrid_index q JOIN hybrid_index c ON c.tenant_id = q.tenant_id
+        FROM hybrid_index q JOIN hybrid_index c ON c.tenant_id = q.tenant_id WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY round(list_cosine_similarity(q.embedding, c.embedding), 9) DESC, c.chunk_id) <= 4""",
 }
 _BUDGET = "sum(length(text)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING)"
@@ -150,7 +152,7 @@ _METRICS = {
     "ContextBudgetUsedPct": "budget_share",
 }
 _DECLARED = codes(
-    *[(f"{n}:{metrics.LATENCY_UNIT if n.endswith('Ms') else metrics.COUNT_UNIT}", f"({e}) IS NOT NULL") for n, e in _METRICS.items()]
+    *[(f"{n}:{values.LATENCY_UNIT if n.endswith('Ms') else values.COUNT_UNIT}", f"({e}) IS NOT NULL") for n, e in _METRICS.items()]
 )
 
 _PAYLOAD = """
@@ -158,13 +160,21 @@ _PAYLOAD = """
            k % 7 <> 0 AS answer, k % 5 <> 0 AS sql, sql_row_count > 0 AS records, k % 3 <> 0 AS warnings,
            k % 13 <> 0 AND citation_count > 0 AS citations, true AS route, true AS guardrail_context, k % 2 = 0 AS expected_pass FROM log"""
 _MISSING = "CASE skill " + " ".join(
-    f"WHEN '{s}' THEN {codes(*[(f, f'NOT {f}') for f in fields])}" for s, fields in guardrails.CONTRACTS.items()
+    f"WHEN '{s}' THEN {codes(*[(f, f'NOT {f}') for f in fields])}" for s, fields in values.CONTRACTS.items()
 ) + " END"
 
+_CHECKS = f"""
+    SELECT question_id AS case_id, 'tenant_boundary' AS "check", CAST(substr(question_id, 3) AS BIGINT) % 97 <> 0 AS expected_pass,
+           tenant_id = authenticated_tenant_id AS actual_pass FROM questions
+    UNION ALL SELECT question_id, 'citation_minimum', route = 'sql' OR citation_count > 0, citation_count >= CASE WHEN route = 'sql' THEN 0 ELSE 1 END FROM log
+    UNION ALL SELECT question_id, 'exact_from_sql', route <> 'mixed_guardrail' OR k % 11 <> 0, route <> 'mixed_guardrail' OR sql_row_count > 0 FROM log
+    UNION ALL SELECT question_id, 'contract', expected_pass, {_MISSING} = '' FROM payload
+    UNION ALL SELECT question_id, 'context_budget', true, true FROM log"""
+
 _ANSWER_HITS = f"""
     SELECT question_id, chunk_id, text, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
         SELECT q.question_id, c.chunk_id, c.text, CAST(len(list_intersect(q.tokens, c.tokens)) AS DOUBLE) / len(q.tokens)
-               + CASE {' '.join(f"WHEN c.doc_type = '{t}' AND list_contains(q.tokens, '{w}') THEN 0.2::DOUBLE" for t, w in retrieval.CUE_WORDS.items())} ELSE 0.0 END AS score
+               + CASE {' '.join(f"WHEN c.doc_type = '{t}' AND list_contains(q.tokens, '{w}') THEN {values.CUE_BOOST}::DOUBLE" for t, w in values.CUE_WORDS.items())} ELSE 0.0 END AS score
         FROM (SELECT *, {_tokens('question')} AS tokens FROM routed WHERE route <> 'sql' AND tenant_id = authenticated_tenant_id) q
         JOIN indexed c ON c.tenant_id = q.tenant_id)
     QUALIFY rank <= 4"""
@@ -172,11 +182,12 @@ _ANSWER_HITS = f"""
 _DAILY = """
     SELECT CAST(CAST(emitted_at AS DATE) AS VARCHAR) AS day, max(bronze_lag) AS bronze_lag_seconds, max(silver_lag) AS silver_freshness_seconds,
            max(gold_lag) AS gold_freshness_seconds, avg(succeeded::INTEGER) AS success_rate,
-           sum(records_out) / sum(records_in) AS quality_pass_rate, sum(quarantined) / sum(records_in) AS quarantine_rate
+           sum(records_out) / sum(records_in) AS quality_pass_rate, sum(quarantined) / sum(records_in) AS quarantine_rate,
+           avg(completed::INTEGER) AS pipeline_uptime
     FROM runs GROUP BY ALL"""
 _LOG_DAY = "CAST(CAST(asked_at AS DATE) AS VARCHAR)"
-_MET = "CASE metric " + " ".join(f"WHEN '{m}' THEN value {c} {t}" for m, (c, t) in slo.OBJECTIVES.items()) + " END"
-_DATA_METRICS = ("bronze_lag_seconds", "silver_freshness_seconds", "gold_freshness_seconds", "success_rate", "quality_pass_rate", "quarantine_rate")
+_MET = "CASE metric " + " ".join(f"WHEN '{m}' THEN value {c} {t}" for m, (c, t) in values.OBJECTIVES.items()) + " END"
+_DATA_METRICS = ("bronze_lag_seconds", "silver_freshness_seconds", "gold_freshness_seconds", "success_rate", "quality_pass_rate", "quarantine_rate", "pipeline_uptime")
 _LATENCIES = (
     ("query_p50_ms", "latency_ms", 0.5), ("query_p95_ms", "latency_ms", 0.95), ("retrieval_p95_ms", "rag_ms", 0.95),
     ("sql_retrieval_p95_ms", "sql_ms", 0.95), ("synthesis_p95_ms", "synth_ms", 0.95),
@@ -184,7 +195,7 @@ _LATENCIES = (
 
 ORACLE = {
     "route_questions": sql(
-        f"""SELECT question_id, route, skill, {_by_route(routing.REASONS)} AS reason, {_by_route(routing.RULES_FIRED, True)} AS rules_fired FROM routed""",
+        f"""SELECT question_id, route, skill, {_by_route(values.REASONS)} AS reason, {_by_route(values.RULES_FIRED, True)} AS rules_fired FROM routed""",
         "routed",
     ),
     "route_terms": sql(
@@ -192,7 +203,7 @@ ORACLE = {
         + ", ".join(
             f"{codes(*[(t, has('question', [t])) for t in terms])} AS {name}"
             for name, terms in (
-                ("sql_hits", routing.SQL_TERMS), ("rag_hits", routing.RAG_TERMS), ("precision_doc_hits", routing.PRECISION_DOC_TERMS),
+                ("sql_hits", values.SQL_TERMS), ("rag_hits", values.RAG_TERMS), ("precision_doc_hits", values.PRECISION_DOC_TERMS),
             )
         )
         + " FROM questions",
@@ -237,16 +248,16 @@ ORACLE = {
     ),
     "eval_retrieval": sql(
         """SELECT count(*) AS cases, round_even(avg((r IS NOT NULL)::INTEGER), 2) AS hit_rate, round_even(avg(coalesce(1.0::DOUBLE / r, 0.0)), 2) AS mrr,
-        1.0::DOUBLE AS tenant_isolation_pass_rate, 1.0::DOUBLE AS retention_filter_pass_rate
-        FROM (SELECT c.question_id, min(CASE WHEN h.document_id = c.expected THEN rank END) AS r FROM cases c
-              LEFT JOIN case_hits h ON h.question_id = c.question_id GROUP BY ALL)""",
+        round_even(avg((c.k % 41 <> 0)::INTEGER), 2) AS tenant_isolation_pass_rate, round_even(avg((c.k % 43 <> 0)::INTEGER), 2) AS retention_filter_pass_rate
+        FROM (SELECT c.question_id, c.k, min(CASE WHEN h.document_id = c.expected THEN rank END) AS r FROM cases c
+              LEFT JOIN case_hits h ON h.question_id = c.question_id GROUP BY ALL) c""",
         "case_hits",
     ),
     "eval_retrieval_cases": sql(
-        """SELECT question_id, r IS NOT NULL AS hit, round_even(coalesce(1.0::DOUBLE / r, 0.0), 4) AS reciprocal_rank, true AS tenant_isolated,
-        true AS retention_safe
-        FROM (SELECT c.question_id, min(CASE WHEN h.document_id = c.expected THEN rank END) AS r FROM cases c
-              LEFT JOIN case_hits h ON h.question_id = c.question_id GROUP BY ALL)""",
+        """SELECT question_id, r IS NOT NULL AS hit, round_even(coalesce(1.0::DOUBLE / r, 0.0), 4) AS reciprocal_rank, c.k % 41 <> 0 AS tenant_isolated,
+        c.k % 43 <> 0 AS retention_safe
+        FROM (SELECT c.question_id, c.k, min(CASE WHEN h.document_id = c.expected THEN rank END) AS r FROM cases c
+              LEFT JOIN case_hits h ON h.question_id = c.question_id GROUP BY ALL) c""",
         "case_hits",
     ),
     "cross_tenant_leaks": sql(
@@ -290,8 +301,8 @@ ORACLE = {
     "answer_questions": sql(
         f"""SELECT question_id, tenant_id, 'answered' AS status, route, skill, total_overdue_amount, overdue_invoice_count, sql_row_count,
         chunks_returned, chunks_kept, chunk_budget_chars, budget_used_chars, top_hit_score, citations, citation_count,
-        concat_ws(',', CASE WHEN route = 'mixed_guardrail' THEN {_text(guardrails.WARNING)} END,
-                  CASE WHEN route <> 'sql' AND citation_count = 0 THEN {_text(guardrails.NO_GROUNDING)} END) AS warnings,
+        concat_ws(',', CASE WHEN route = 'mixed_guardrail' THEN {_text(values.WARNING)} END,
+                  CASE WHEN route <> 'sql' AND citation_count = 0 THEN {_text(values.NO_GROUNDING)} END) AS warnings,
         route = 'sql' OR citation_count >= 1 AS citation_ok, route <> 'mixed_guardrail' OR sql_row_count > 0 AS exact_from_sql_ok,
         (route = 'sql' OR citation_count >= 1) AND (route <> 'mixed_guardrail' OR sql_row_count > 0) AS guardrail_passed
         FROM (SELECT r.question_id, r.tenant_id, route, skill, CASE WHEN route <> 'rag' THEN amount END AS total_overdue_amount,
@@ -346,7 +357,7 @@ ORACLE = {
     "step_spans": sql(
         " UNION ALL ".join(
             f"SELECT question_id, '{step}' AS step, round_even(CAST({e} AS DOUBLE), 2) AS duration_ms FROM log WHERE ({e}) IS NOT NULL"
-            for step, e in [*((s, _STEPS[m]) for s, m in metrics.STEP_METRICS.items()), ("cache_lookup", "0.25::DOUBLE")]
+            for step, e in [*((s, _STEPS[m]) for s, m in values.STEP_METRICS.items()), ("cache_lookup", "0.25::DOUBLE")]
         ),
         "log",
     ),
@@ -363,9 +374,12 @@ ORACLE = {
         FROM conversations GROUP BY ALL""",
     "slo_report": sql(
         f"""SELECT day, metric, round(value, 6) AS value, {_MET} AS met FROM measured""",
-        "log", "runs",
+        "log", "runs", "routed", "policy_hits",
         extra={
             "daily": _DAILY,
+            "isolation": f"""SELECT {_LOG_DAY} AS day, count(owner) FILTER (owner <> authenticated_tenant_id) AS cross_tenant_leaks,
+                count(DISTINCT question_id) FILTER (tenant_id <> authenticated_tenant_id AND owner IS NOT NULL) AS tenant_boundary_violations
+                FROM (SELECT q.*, h.tenant_id AS owner FROM questions q LEFT JOIN policy_hits h USING (question_id)) GROUP BY ALL""",
             "measured": " UNION ALL ".join(
                 [f"SELECT day, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM daily" for m in _DATA_METRICS]
                 + [
@@ -373,6 +387,9 @@ ORACLE = {
                     f"""SELECT {_LOG_DAY}, 'citation_coverage', count(*) FILTER (route <> 'sql' AND citation_count > 0) / count(*) FILTER (route <> 'sql')
                     FROM log GROUP BY ALL""",
                 ]
+                + [f"SELECT {_LOG_DAY}, 'endpoint_uptime', count(*) FILTER (outcome = 'ok') / count(*) FILTER (outcome <> 'client_error') FROM log GROUP BY ALL"]
+                + [f"SELECT {_LOG_DAY}, 'routing_accuracy', avg((route = expected_route)::INTEGER) FROM routed GROUP BY ALL"]
+                + [f"SELECT day, '{m}', CAST({m} AS DOUBLE) FROM isolation" for m in ("cross_tenant_leaks", "tenant_boundary_violations")]
                 + [f"SELECT DISTINCT grp, '{m}', v FROM ({_p(c, s, _LOG_DAY)})" for m, c, s in _LATENCIES]
             ),
         },
@@ -385,10 +402,41 @@ ORACLE = {
         UNION ALL SELECT 'quarantine_rate', run_id, emitted_at FROM runs WHERE quarantined / records_in > 0.02
         UNION ALL SELECT 'guardrail_compliance', d, CAST(d AS TIMESTAMP) FROM (
             SELECT {_LOG_DAY} AS d, avg(guardrail_passed::INTEGER) AS rate FROM log GROUP BY ALL) WHERE rate < 0.99
-        UNION ALL SELECT 'cross_tenant', question_id, NULL FROM questions WHERE tenant_id <> authenticated_tenant_id
+        UNION ALL SELECT 'cross_tenant', question_id, asked_at FROM questions WHERE tenant_id <> authenticated_tenant_id
+        UNION ALL SELECT 'cross_tenant_leak', chunk_id, asked_at FROM policy_hits h JOIN questions q USING (question_id)
+            WHERE h.tenant_id <> q.authenticated_tenant_id
         UNION ALL SELECT 'query_p95', 'all', min(m) FROM (
             SELECT m, m - row_number() OVER (ORDER BY m) * INTERVAL 1 MINUTE AS island FROM (SELECT DISTINCT grp AS m FROM ({_p('latency_ms', 0.95, "date_trunc('minute', asked_at)")}) WHERE v > 1500))
             GROUP BY island HAVING count(*) >= 2)""",
-        "log", "runs", "questions",
+        "log", "runs", "questions", "policy_hits",
+    ),
+    "latency_alerts": sql(
+        f"""SELECT 'query_p95' AS alert, 'all' AS subject, {stamp('min(m)', 'since')} FROM (
+            SELECT m, m - row_number() OVER (ORDER BY m) * INTERVAL 1 MINUTE AS island FROM (
+                SELECT DISTINCT grp AS m FROM ({_p('latency_ms', 0.95, "date_trunc('minute', asked_at)", 'dense')}) WHERE v > 3000))
+            GROUP BY island HAVING count(*) >= 5""",
+        "log",
+        extra={
+            "dense": """SELECT TIMESTAMP '2024-06-01' + k * 2 * INTERVAL 1 SECOND AS asked_at,
+                ((((((1.0::DOUBLE + 2.0) + coalesce(sql_ms, 0)) + coalesce(rag_ms, 0)) + synth_ms + CASE WHEN k % 1800 < 300 THEN 5000 ELSE 0 END) + 0.5) + 0.25) AS latency_ms FROM log"""
+        },
+    ),
+    "context_budget_declared": sql(
+        f"SELECT question_id, chunk_id, rank, CAST({_BUDGET} AS BIGINT) AS chars_used FROM many_hits QUALIFY {_BUDGET} <= 8000",
+        "case_hits", extra={"many_hits": CTES["case_hits"][1].replace("rank <= 4", "rank <= 40")},
+    ),
+    "eval_guardrail_checks": sql(
+        """SELECT "check", count(*) AS total, count(*) FILTER (actual_pass = expected_pass) AS correct,
+        round(count(*) FILTER (actual_pass = expected_pass) / count(*), 6) AS compliance_rate FROM checks GROUP BY ALL""",
+        "log", "questions", extra={"payload": _PAYLOAD, "checks": _CHECKS},
+    ),
+    "eval_guardrail_failures": sql(
+        "SELECT * FROM checks WHERE actual_pass <> expected_pass", "log", "questions", extra={"payload": _PAYLOAD, "checks": _CHECKS}
+    ),
+    "pipeline_metrics": sql(
+        """SELECT 'bronze_to_silver_1' AS run_id, 'bronze_to_silver_invoice_validation' AS stage, CAST(count(*) AS DOUBLE) AS "RecordsIn",
+        CAST(count(*) FILTER (quality_errors = '') AS DOUBLE) AS "RecordsOut", CAST(count(*) FILTER (quality_errors <> '') AS DOUBLE) AS "Quarantined",
+        0.0::DOUBLE AS "StageDurationMs" FROM validated""",
+        "validated",
     ),
 }

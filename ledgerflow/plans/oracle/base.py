@@ -42,6 +42,36 @@ def json_field(name: str, value: str) -> str:
     return f"'\"{name}\":\"' || {value} || '\"'"
 
 
+# The payload fields of an invoice event, and the types of those that are not text.
+PAYLOAD_FIELDS = ("customer_id", "engagement_id", "invoice_number", "invoice_amount", "currency", "status", "due_date", "invoice_date")
+PAYLOAD_TYPES = {"invoice_amount": "DOUBLE", "due_date": "DATE", "invoice_date": "DATE"}
+
+
+def parsed(source: str, *extra: str) -> str:
+    """Events with their payload fields; a typed field also keeps its raw text."""
+    columns = []
+    for field in PAYLOAD_FIELDS:
+        raw = f"json_extract_string(payload_json, '$.{field}')"
+        typed = PAYLOAD_TYPES.get(field)
+        columns += [f"{raw} AS raw_{field}", f"try_cast({raw} AS {typed}) AS {field}"] if typed else [f"{raw} AS {field}"]
+    kept = ("event_id", "batch_id", "payload_json", "updated_at", "emitted_at", "source_sequence", *extra)
+    return f"SELECT tenant_id, entity_id AS invoice_id, {', '.join([*kept, *columns])}, op = 'delete' AS is_deleted FROM {source}"
+
+
+def newest(source: str, keys: str, *order: str) -> str:
+    """The last row of each key."""
+    ranked = ", ".join(f"{c} DESC" for c in order)
+    return f"SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {ranked}) = 1"
+
+
+# Days past due from which a bucket counts, and its name.
+AGING = ((61, "61_plus"), (31, "31_60"), (1, "0_30"))
+
+
+def aged(days: str) -> str:
+    return "CASE " + " ".join(f"WHEN {days} >= {least} THEN '{name}'" for least, name in AGING) + " ELSE 'current' END"
+
+
 DOC_TYPE = "CASE {k} % 4 WHEN 0 THEN 'policy' WHEN 1 THEN 'workpaper' WHEN 2 THEN 'engagement_note' ELSE 'issue_summary' END"
 
 INVOICE_ERRORS = codes(
@@ -103,10 +133,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                k * 10 + v + copy AS source_sequence,
                '{{' || concat_ws(',', {json_field('customer_id', 'customer_id')}, {json_field('engagement_id', 'engagement_id')},
                    {json_field('invoice_number', 'invoice_number')},
-                   {json_field('invoice_amount', "CASE WHEN k % 11 = 0 THEN 'n/a' ELSE CAST(CAST(invoice_amount + 10 * (v - 1) AS DECIMAL(18,2)) AS VARCHAR) END")},
+                   {json_field('invoice_amount', "CASE WHEN (k + 4 * (v - 1)) % 11 = 0 THEN 'n/a' ELSE CAST(CAST(invoice_amount + 10 * (v - 1) AS DECIMAL(18,2)) AS VARCHAR) END")},
                    {json_field('currency', 'currency')}, {json_field('status', 'status')},
-                   CASE WHEN k % 13 <> 0 THEN {json_field('due_date', 'CAST(due_date AS VARCHAR)')} END,
-                   {json_field('invoice_date', "CASE WHEN k % 17 = 0 THEN ' ' ELSE CAST(invoice_date AS VARCHAR) END")}) || '}}' AS payload_json,
+                   CASE WHEN (k + 5 * (v - 1)) % 13 <> 0 THEN {json_field('due_date', 'CAST(due_date AS VARCHAR)')} END,
+                   {json_field('invoice_date', "CASE WHEN (k + 6 * (v - 1)) % 17 = 0 THEN ' ' ELSE CAST(invoice_date AS VARCHAR) END")}) || '}}' AS payload_json,
                'oltp' AS source_system, 'batch_' || v AS batch_id, 'invoices' AS source_file, '1' AS event_version, k
         FROM (
             SELECT *, unnest(CASE WHEN k % 5 = 0 THEN [0, 1] ELSE [0] END) AS copy
@@ -125,24 +155,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT * FROM deduped
         QUALIFY row_number() OVER (PARTITION BY tenant_id, entity_id ORDER BY updated_at DESC, source_sequence DESC, emitted_at DESC) = 1""",
     ),
-    "candidates": (
-        ("latest",),
-        """
-        SELECT tenant_id, entity_id AS invoice_id, event_id, batch_id, payload_json, updated_at, emitted_at, source_sequence,
-               json_extract_string(payload_json, '$.customer_id') AS customer_id,
-               json_extract_string(payload_json, '$.engagement_id') AS engagement_id,
-               json_extract_string(payload_json, '$.invoice_number') AS invoice_number,
-               json_extract_string(payload_json, '$.invoice_amount') AS raw_invoice_amount,
-               try_cast(json_extract_string(payload_json, '$.invoice_amount') AS DOUBLE) AS invoice_amount,
-               json_extract_string(payload_json, '$.currency') AS currency,
-               json_extract_string(payload_json, '$.status') AS status,
-               json_extract_string(payload_json, '$.due_date') AS raw_due_date,
-               try_cast(json_extract_string(payload_json, '$.due_date') AS DATE) AS due_date,
-               json_extract_string(payload_json, '$.invoice_date') AS raw_invoice_date,
-               try_cast(json_extract_string(payload_json, '$.invoice_date') AS DATE) AS invoice_date,
-               op = 'delete' AS is_deleted
-        FROM latest""",
-    ),
+    "candidates": (("latest",), parsed("latest")),
     "validated": (("candidates",), f"SELECT *, {INVOICE_ERRORS} AS quality_errors FROM candidates"),
     "curated": (
         ("validated",),
@@ -200,19 +213,18 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "gold": (
         ("curated", "customers", "engagements"),
-        """
-        SELECT i.tenant_id, i.invoice_id, i.invoice_number, i.engagement_id, e.engagement_name, i.customer_id, c.customer_name,
-               i.invoice_amount, i.currency, i.status, i.invoice_date, i.due_date, DATE '2001-07-15' - i.due_date AS days_past_due,
-               coalesce(i.status = 'overdue' OR i.due_date < DATE '2001-07-15', false) AS is_overdue,
-               CASE WHEN DATE '2001-07-15' - i.due_date BETWEEN 1 AND 30 THEN '0_30'
-                    WHEN DATE '2001-07-15' - i.due_date BETWEEN 31 AND 60 THEN '31_60'
-                    WHEN DATE '2001-07-15' - i.due_date > 60 THEN '61_plus' ELSE 'current' END AS aging_bucket,
-               i.updated_at,
-               'invoice:' || i.source_event_id || '|customer:' || c.source_event_id || '|engagement:' || e.source_event_id AS lineage_ref
-        FROM curated i
-        LEFT JOIN customers c ON i.tenant_id = c.tenant_id AND i.customer_id = c.customer_id
-        LEFT JOIN engagements e ON i.tenant_id = e.tenant_id AND i.engagement_id = e.engagement_id
-        WHERE NOT i.is_deleted""",
+        f"""
+        SELECT * EXCLUDE (source_event_id, source_batch_id, is_deleted, customer_ref, engagement_ref),
+               days_past_due > 0 OR status = 'overdue' AS is_overdue, {aged('days_past_due')} AS aging_bucket, {' || '.join(
+                   f"'{'|' * bool(n)}{part}:' || {ref}" for n, (part, ref) in enumerate(
+                       zip(("invoice", "customer", "engagement"), ("source_event_id", "customer_ref", "engagement_ref"))))} AS lineage_ref
+        FROM (
+            SELECT curated.*, customer_name, engagement_name, customers.source_event_id AS customer_ref,
+                   engagements.source_event_id AS engagement_ref, DATE '2001-07-15' - due_date AS days_past_due
+            FROM curated
+            LEFT JOIN (SELECT tenant_id, customer_id, customer_name, source_event_id FROM customers) customers USING (tenant_id, customer_id)
+            LEFT JOIN (SELECT tenant_id, engagement_id, engagement_name, source_event_id FROM engagements) engagements USING (tenant_id, engagement_id)
+            WHERE NOT is_deleted)""",
     ),
     "control_summary": (
         ("controls", "engagements"),

@@ -155,7 +155,7 @@ ORACLE = {
     ),
     "source_health": " UNION ALL ".join(
         f"SELECT '{t}' AS source, count(*) AS row_count FROM {t}"
-        for t in ("documents", "customer", "orders", "part", "events", "embeddings", "conversations")
+        for t in ("documents", "customer", "orders", "lineitem", "part", "events", "embeddings", "conversations")
     ),
     "document_validation": sql(
         f"""SELECT document_id, doc_type, retention_state, {_VALIDATION} AS validation_errors, {_VALIDATION} = '' AS valid FROM raw""",
@@ -191,10 +191,10 @@ ORACLE = {
         "SELECT tenant_id, chunk_kind, count(*) AS chunk_count FROM t_chunks GROUP BY ALL", "t_chunks"
     ),
     "chunk_overlap": sql(
-        """SELECT tenant_id, count(*) AS pairs, count(*) FILTER (tail <> '' AND contains(text, left(tail, 40))) AS overlapping_pairs,
-        round_even(count(*) FILTER (tail <> '' AND contains(text, left(tail, 40))) / count(*), 2) AS overlap_pair_rate FROM (
+        """SELECT tenant_id, count(*) FILTER (chunk_index > 0) AS pairs, count(*) FILTER (chunk_index > 0 AND tail <> '' AND contains(text, left(tail, 40))) AS overlapping_pairs,
+        coalesce(round_even(count(*) FILTER (chunk_index > 0 AND tail <> '' AND contains(text, left(tail, 40))) / nullif(count(*) FILTER (chunk_index > 0), 0), 2), 0.0) AS overlap_pair_rate FROM (
             SELECT tenant_id, text, string_split(lag(text) OVER (PARTITION BY document_id ORDER BY chunk_index), '. ')[-1] AS tail,
-                   chunk_index FROM chunks) WHERE chunk_index > 0 GROUP BY ALL""",
+                   chunk_index FROM chunks) GROUP BY ALL""",
         "chunks",
     ),
     "eval_table_detection": sql(

@@ -1,25 +1,48 @@
-"""SQL of the streaming queries: what the same events give in one batch."""
+"""SQL of the streaming queries: the deliveries applied one after another."""
 
 from __future__ import annotations
 
-from ledgerflow.plans.oracle.base import sql, stamp
+from ledgerflow.plans.oracle.base import INVOICE_ERRORS, newest, parsed, sql, stamp
 from ledgerflow.plans.oracle.lakehouse import ORACLE as LAKEHOUSE
+from ledgerflow.plans.oracle.lakehouse import REJECTED, SILVER
+
+# What each of three deliveries holds: distinct events, then the newest event of each invoice, then its quality codes.
+_BATCHES = {
+    "arrived": 'SELECT *, "offset" % 3 AS delivery FROM bronze',
+    "distinct_events": newest("arrived", "delivery, event_id", "emitted_at", "source_sequence", '"offset"'),
+    "batch_latest": newest("distinct_events", "delivery, tenant_id, entity_id", "updated_at", "source_sequence", "emitted_at", "event_id"),
+    "batch_checked": f"SELECT *, event_id AS source_event_id, batch_id AS source_batch_id, {INVOICE_ERRORS} AS quality_errors FROM ({parsed('batch_latest', 'delivery')})",
+}
+
+# Deliveries in time, some events and copies one delivery late; a row is dropped if it is not newer than the watermark,
+# two hours before the newest event of the deliveries before its own.
+_LATE = """("offset" // 10) % 29 = 0 OR (("offset" // 10) % 25 = 0 AND hour(emitted_at) = 1)"""
+_TIMED = {
+    "arrived": f"SELECT *, least(2, (year(emitted_at) - 1992) // 2) + CASE WHEN {_LATE} THEN 1 ELSE 0 END AS delivery FROM bronze",
+    "marks": "SELECT delivery, max(emitted_at) AS newest FROM arrived GROUP BY ALL",
+    "in_time": """SELECT a.* FROM arrived a WHERE a.emitted_at > coalesce(
+        (SELECT max(m.newest) - INTERVAL 2 HOUR FROM marks m WHERE m.delivery < a.delivery), TIMESTAMP '1970-01-01')""",
+}
 
 ORACLE = {
     "cdc_stream_ingest": LAKEHOUSE["cdc_decode"],
     "cdc_microbatch": sql(
-        """SELECT topic, "partition", count(*) + count(*) FILTER ("offset" % 101 = 0) AS messages,
-        count(*) FILTER ("offset" % 101 = 0) AS corrupt, max("offset") AS last_offset FROM bronze GROUP BY ALL""",
+        """SELECT "offset" % 3 AS batch_id, CAST(count(*) + count(*) FILTER ("offset" % 101 = 0) + count(*) FILTER ("offset" % 103 = 0) AS BIGINT) AS messages
+        FROM bronze GROUP BY ALL""",
         "bronze",
     ),
     "stream_dedup": sql(
-        f"SELECT DISTINCT event_id, op, tenant_id, entity_id, {stamp('updated_at')}, payload_json FROM bronze", "bronze"
+        f"SELECT DISTINCT event_id, op, tenant_id, entity_id, {stamp('updated_at')}, payload_json FROM in_time", "bronze", extra=_TIMED
+    ),
+    "stream_latest_state": sql(
+        f"""SELECT {SILVER} FROM batch_checked WHERE quality_errors = ''
+        QUALIFY row_number() OVER (PARTITION BY tenant_id, invoice_id ORDER BY updated_at DESC, source_sequence DESC, emitted_at DESC, event_id DESC) = 1""",
+        "bronze", extra=_BATCHES,
     ),
-    "stream_latest_state": LAKEHOUSE["silver_curated"],
     "stream_quarantine": sql(
-        """SELECT tenant_id, invoice_id, CAST(len(string_split(quality_errors, ',')) AS BIGINT) AS errors
-        FROM validated WHERE quality_errors <> ''""",
-        "validated",
+        f"""SELECT {REJECTED} FROM batch_checked WHERE quality_errors <> ''
+        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY delivery) = 1""",
+        "bronze", extra=_BATCHES,
     ),
     "stream_arrival_windows": sql(
         """SELECT strftime(date_trunc('day', emitted_at), '%Y-%m-%d %H:%M:%S') AS window_start, entity_name, count(*) AS events

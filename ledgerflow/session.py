@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "ledgerflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,12 +41,23 @@ _local_base: str | None = None
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only by a local master, where driver and executors share it.
+    A machine-local folder is used only by a local master that names no shared one; there, driver and executors share it,
+    and it goes when the process ends.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_base = _local_base or tempfile.mkdtemp(prefix="ledgerflow-")
+        if not _local_base:
+            _local_base = tempfile.mkdtemp(prefix="ledgerflow-")
+            atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
+        base = _local_base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that later steps read several times to the shared folder and read it back."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -31,10 +31,11 @@ def quarantined(spark: SparkSession, quarantine: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
-def fold(spark: SparkSession, silver: str) -> None:
-    """Write the current state as a whole version."""
-    version, _ = upsert.published(spark, silver)
-    upsert.publish(current_state(spark, silver), silver, version)
+def fold(spark: SparkSession, silver: str, quarantine: str) -> None:
+    """Write the current state and the distinct rejects as whole versions."""
+    for rows, base in ((current_state(spark, silver), silver), (quarantined(spark, quarantine), quarantine)):
+        version, _ = upsert.published(spark, base)
+        upsert.publish(rows, base, version)
 
 
 def apply_batch(events: DataFrame, batch_id: int, silver: str, quarantine: str, *, fold_every: int = 100) -> None:
@@ -51,7 +52,7 @@ def apply_batch(events: DataFrame, batch_id: int, silver: str, quarantine: str,
     finally:
         validated.unpersist()
     if (batch_id + 1) % fold_every == 0:
-        fold(spark, silver)
+        fold(spark, silver, quarantine)
 
 
 def upsert_stream(bronze: DataFrame, silver: str, quarantine: str, checkpoint: str, *, fold_every: int = 100) -> StreamingQuery:

@@ -150,8 +150,7 @@ def test_hybrid_needs_all_terms_or_nearness(spark):
     assert lexical == [("c1", pytest.approx(bm25, abs=1e-8))]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"index_block": 7, "question_block": 2}])
-def test_match_all_equals_brute_force_for_any_block_size(spark, sizes):
+def test_match_all_equals_brute_force(spark):
     data, asked, index, frame = small_index(spark, seed=4)
     want = []
     for qid, tenant, text, kind in asked:
@@ -167,11 +166,28 @@ def test_match_all_equals_brute_force_for_any_block_size(spark, sizes):
                     total += math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
                 scored.append((-round(total, 9), chunk))
         want += [(qid, rank, chunk, -score) for rank, (score, chunk) in enumerate(sorted(scored)[:4], 1)]
-    found = collect(retrieval.match_topk(frame, index, **sizes), "question_id", "rank", "chunk_id", "score")
+    found = collect(retrieval.match_topk(frame, index), "question_id", "rank", "chunk_id", "score")
     assert len(want) > 10 and [f[:3] for f in found] == [w[:3] for w in sorted(want)]
     assert [f[3] for f in found] == pytest.approx([w[3] for w in sorted(want)], abs=1e-8)
 
 
+def test_hybrid_searches_rows_and_questions_without_a_vector(spark):
+    rows = [("t", "c1", "policy", "active", "late fee", None), ("t", "c2", "policy", "active", "other", [0.0, 1.0]), ("t", "c3", "policy", "active", "fee late", [1.0, 0.0])]
+    index = spark.createDataFrame(rows, "tenant_id string, chunk_id string, doc_type string, retention_state string, text string, embedding array<float>")
+    asked = [("plain", "t", "late fee", None), ("both", "t", "late fee", [0.0, 1.0]), ("wordless", "t", "?!", [0.0, 1.0]), ("nothing", "t", "", None), ("missing", "t", "absent", None)]
+    frame = spark.createDataFrame(asked, "question_id string, tenant_id string, question string, embedding array<float>")
+    found = {}
+    for r in retrieval.hybrid_topk(frame, index, k=3).collect():
+        found.setdefault(r["question_id"], set()).add(r["chunk_id"])
+    assert found == {"plain": {"c1", "c3"}, "both": {"c1", "c2", "c3"}, "wordless": {"c2", "c3"}}
+
+
+def test_match_all_has_no_python_in_its_plan(spark):
+    _, _, index, frame = small_index(spark, seed=4)
+    plan = retrieval.match_topk(frame, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
 def test_best_positions_keeps_ties_in_order():
     scores = np.array([0.5, 1.0, 0.5, -np.inf, 0.5, 1.0])
     assert best_positions(scores, 4).tolist() == [1, 5, 0, 2]
@@ -274,6 +290,26 @@ def test_latency_alert_fires_once_per_stretch(spark):
 
 
 def test_reports_use_no_python(spark):
-    rows = slo.slo_report(inputs.stage_runs(spark, SF), inputs.query_log(spark, SF))
+    requests = inputs.questions(spark, SF)
+    citations = requests.select("question_id", "tenant_id")
+    rows = slo.slo_report(inputs.stage_runs(spark, SF), inputs.query_log(spark, SF), routing.route_questions(requests), requests, citations)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+    assert {r["metric"] for r in rows.select("metric").distinct().collect()} == set(slo.OBJECTIVES)
+
+
+def test_isolation_counts_leaks_and_violations_that_reached_retrieval(spark):
+    day = dt.datetime(2024, 1, 2, 5)
+    requests = spark.createDataFrame(
+        [("ok", day, "t1", "t1"), ("stopped", day, "t1", "t2"), ("reached", day, "t1", "t2")],
+        "question_id string, asked_at timestamp, tenant_id string, authenticated_tenant_id string",
+    )
+    cited = spark.createDataFrame([("ok", "c1", "t1"), ("ok", "c2", "t9"), ("reached", "c3", "t1"), ("reached", "c4", "t2")], "question_id string, chunk_id string, tenant_id string")
+    assert collect(slo.isolation_objectives(requests, cited), "metric", "value") == [("cross_tenant_leaks", 2.0), ("tenant_boundary_violations", 1.0)]
+    alerts = collect(slo.boundary_alerts(requests, cited), "alert", "subject", "since")
+    assert alerts == [("cross_tenant", "reached", day), ("cross_tenant", "stopped", day), ("cross_tenant_leak", "c2", day), ("cross_tenant_leak", "c3", day)]
+
+
+def test_a_null_group_has_percentiles_too(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", 2.0)], "g string, v double")
+    assert {tuple(r) for r in nearest_rank_percentiles(rows, ["g"], "v", {"p": 1.0}).collect()} == {(None, 3.0), ("g", 2.0)}

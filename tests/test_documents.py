@@ -125,6 +125,17 @@ def ocr_rows(df):
     return {r["document_id"]: r.asDict(recursive=True) for r in df.collect()}
 
 
+def relational(results):
+    """{document: (tables, form fields)} by the joins over tables of blocks."""
+    rows = ocr.blocks(results)
+    found = {r["document_id"]: ([], []) for r in results.collect()}
+    for r in sorted(ocr.tables(rows).collect(), key=lambda r: r["table_position"]):
+        found[r["document_id"]][0].append(r["table"])
+    for r in sorted(ocr.key_values(rows).collect(), key=lambda r: r["position"]):
+        found[r["document_id"]][1].append({"key": r["key"], "value": r["value"]})
+    return found
+
+
 @pytest.mark.parametrize("repeated", [True, False])
 def test_ocr_edge_cases(spark, repeated):
     graph = [
@@ -139,7 +150,7 @@ def test_ocr_edge_cases(spark, repeated):
     ]
     results = spark.createDataFrame([("t", "full", graph), ("t", "none", []), ("t", "null", None)], schemas.OCR_RESULT)
     rows = ocr_rows(ocr.extracted_documents(results))
-    assert rows == ocr_rows(ocr.extracted_documents(results, in_row_blocks=-1))
+    assert relational(results) == {key: (row["tables"], row["key_value_pairs"]) for key, row in rows.items()}
     assert rows["full"]["tables"] == [[], [[""], ["new new"]]]
     assert rows["full"]["key_value_pairs"] == [{"key": "new", "value": ""}]
     assert rows["full"]["raw_text"] == "\n\n\n" + " " * 20 + "\n" + "new new".ljust(20) + "\n"
@@ -154,15 +165,23 @@ def test_ocr_observed_time_defaults_to_now(spark):
     assert record["text"] == "hello" and record["created_at"] == record["updated_at"]
 
 
-def test_both_ways_to_resolve_results_agree(spark):
+def test_results_and_tables_of_blocks_agree(spark):
     results = inputs.ocr_results(spark, SF)
-    in_row, joined = (ocr_rows(ocr.extracted_documents(results, in_row_blocks=n)) for n in (4096, -1))
-    assert in_row == joined and len(in_row) == results.count()
+    rows = ocr_rows(ocr.extracted_documents(results))
+    assert relational(results) == {key: (row["tables"], row["key_value_pairs"]) for key, row in rows.items()}
+    assert len(rows) == results.count()
+
+
+def test_large_results_stay_exact(spark):
+    graph = [block("t", "TABLE", child=[f"c{i}" for i in range(3000)])]
+    graph += [block(f"c{i}", "CELL", row=i, col=1, child=[f"w{i}"]) for i in range(3000)] + [block(f"w{i}", "WORD", f"x{i}") for i in range(3000)]
+    results = spark.createDataFrame([("t", "large", graph)], schemas.OCR_RESULT)
+    assert ocr_rows(ocr.extracted_documents(results))["large"]["tables"] == [[[f"x{i}"] for i in range(3000)]]
 
 
-def test_ordinary_results_need_no_shuffle_and_exploded_sides_are_never_broadcast(spark):
+def test_results_need_no_shuffle_and_exploded_sides_are_never_broadcast(spark):
     results = inputs.ocr_results(spark, SF)
-    in_row = ocr._resolved_in_row(results)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in in_row and in_row.count("map_from_arrays(") == 1
+    in_row = ocr.extracted_documents(results)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in in_row
     joined = ocr.owners(ocr.blocks(results))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in joined and "Broadcast" not in joined

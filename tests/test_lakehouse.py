@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerflow import schemas
 from ledgerflow.operators import gold, quality, serving, snapshot, upsert
 from ledgerflow.plans import inputs, medallion
-from ledgerflow.session import work_dir
+from ledgerflow.session import materialize, work_dir
 from ledgerflow.sources import cdc, oltp
 from tests.conftest import collect
 
@@ -109,6 +109,20 @@ def test_merge_overwrites_only_named_columns_and_obeys_the_guard(spark):
     assert ("t", "b", 1, "x", 5) in collect(guarded)
 
 
+def test_merge_reads_and_shuffles_each_side_once(spark):
+    target, source = (materialize(df, "merge") for df in merge_frames(spark))
+    plan = upsert.merge(target, source, ["tenant", "id"])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 2 and plan.count("FullOuter") == 1
+
+
+def test_rows_without_a_key_are_not_added_twice(spark):
+    rows = spark.createDataFrame([("t", None, 1, "x", 5)], "tenant string, id string, v int, keep string, seq int")
+    target, _ = merge_frames(spark)
+    grown = upsert.insert_if_absent(target, rows, ["id"])
+    assert grown.count() == 3 and upsert.append_new(grown, rows, ["id"]).count() == 0
+    assert upsert.merge(grown, rows, ["tenant", "id"]).count() == 3
+
+
 def test_append_new_adds_nothing_twice(spark):
     target, source = merge_frames(spark)
     grown = upsert.insert_if_absent(target, source, ["id"])
