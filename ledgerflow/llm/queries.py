@@ -102,4 +102,26 @@ ORACLE: dict[str, str] = {
         FROM scored
         QUALIFY rank <= 5
     """,
+    # The checksum is computed byte by byte from a table of 256 steps.
+    "op10_shards": """
+        WITH steps AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS step
+        ), sized AS (
+            SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS UBIGINT)) AS bytes
+            FROM documents
+        ), summed AS (
+            SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes),
+                lambda c, b: xor(step[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), 4294967295::UBIGINT) AS BIGINT) AS text_crc32
+            FROM sized, steps
+        ), placed AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM summed
+        ), dealt AS (
+            SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard FROM placed
+        )
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM dealt
+    """,
 }
