@@ -4,8 +4,8 @@ Features are hashed byte trigrams of the whole lower-cased text with everything
 blank; counts are damped by a square root and scaled to unit length. One-versus-rest linear support vector machines
 choose the family; within it, one linear machine per pair of languages votes, margins breaking ties.
 
-The machines are fitted on a bounded sample of training rows: `SAMPLE_ROWS` in all, the same number for
-each language, those with the smallest hash of the id. Only their feature vectors reach the driver. Every
+The machines are fitted on a bounded sample of training rows: about `SAMPLE_ROWS` in all and never twice as many, as many from
+each language, drawn by a hash of the id. Only their feature vectors reach the driver. Every
 text is then scored as a whole, a batch at a time, without a shuffle.
 
 Nulls and ties: a null text and a text without a letter are `und` with score 0, and so is everything if there
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import batches_of
@@ -166,19 +166,16 @@ def fit_model(rows: np.ndarray, languages: list[str]) -> Model:
 
 def fit(docs: DataFrame, *, key: str, text: str, language: str, training: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of at most `sample_rows` training rows with a letter in their text."""
-    usable = docs.where(training & F.col(language).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    languages = usable.select(F.col(language)).distinct().count()
-    if not languages:
+    known = docs.where(training & F.col(language).isNotNull())
+    # A language beyond the number of rows could not have one in the sample.
+    counts = known.groupBy(F.col(language).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()
+    if not counts:
         return Model()
-    # Spark ranks within each task before it shuffles, so no language meets in one task.
-    ranked = Window.partitionBy("lang").orderBy("hash", "id")
-    candidates = usable.select(F.col(language).alias("lang"), F.col(key).alias("id"), F.xxhash64(key).alias("hash"))
-    picked = (
-        candidates.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= max(1, sample_rows // languages))
-        .select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    )
-    # `sample_rows` ids at most.
-    sample = usable.join(F.broadcast(picked), (F.col(key) == F.col("_id")) & (F.col(language) == F.col("_lang")), "left_semi")
+    quota = max(1, sample_rows // len(counts))
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, quota / r["count"]))])
+    # Each row decides by itself, so nothing is ranked: the share of its language of the range of hashes.
+    drawn = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 52)) < F.try_element_at(shares, F.col(language)) * float(1 << 52)
+    sample = known.where(drawn & F.col(text).rlike(r"\p{L}"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +186,7 @@ def fit(docs: DataFrame, *, key: str, text: str, language: str, training: Column
 
     rows = sample.select(F.col(language).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = rows.mapInArrow(vectors, "lang string, hash long, features array<float>")
-    # Rows that repeat an id could go beyond the bound.
+    # As many rows as asked for, give or take; rows that repeat an id could go beyond the bound.
     found = sorted(rows.limit(2 * sample_rows).collect(), key=lambda r: (r["lang"], r["hash"]))
     if not found:
         return Model()
