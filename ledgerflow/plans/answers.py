@@ -260,17 +260,10 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(metrics.token_usage(inputs.model_usage(spark, sf_dir)))
 
 
-def _citations(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
-    """The retrieved rows of every request, mismatched ones included, and their tenants."""
-    index = _index(spark, sf_dir)
-    hits = retrieval.policy_topk(requests, index).select("question_id", "chunk_id")
-    return materialize(hits.join(index.select("chunk_id", "tenant_id"), "chunk_id"), "citations")
-
-
 def slo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = inputs.questions(spark, sf_dir)
     report = slo.slo_report(
-        inputs.stage_runs(spark, sf_dir), inputs.query_log(spark, sf_dir), routing.route_questions(requests), requests, _citations(spark, sf_dir, requests)
+        inputs.stage_runs(spark, sf_dir), inputs.query_log(spark, sf_dir), routing.route_questions(requests), requests, inputs.citations(spark, sf_dir)
     )
     return portable(rounded(report, 6, "value"))
 
@@ -281,7 +274,7 @@ def slo_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = slo.lag_alerts(runs).unionByName(slo.latency_alerts(log, threshold_ms=1500.0, minutes=2))
     alerts = alerts.unionByName(slo.guardrail_alerts(log))
     requests = inputs.questions(spark, sf_dir)
-    return portable(alerts.unionByName(slo.boundary_alerts(requests, _citations(spark, sf_dir, requests))))
+    return portable(alerts.unionByName(slo.boundary_alerts(requests, inputs.citations(spark, sf_dir))))
 
 
 def latency_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

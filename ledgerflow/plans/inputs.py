@@ -374,6 +374,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows retrieved for the questions: the document of a customer's number, whichever tenant owns it."""
+    found = documents(spark, sf_dir).select(F.col("document_id").alias("chunk_id"), "tenant_id", F.regexp_replace("document_id", "doc_", "q_").alias("question_id"))
+    return found.join(questions(spark, sf_dir).select("question_id"), "question_id")
+
+
 def retrieval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known-item search: every active document is asked for by its title."""
     active = documents(spark, sf_dir).where(F.col("retention_state") == "active")

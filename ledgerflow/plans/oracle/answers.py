@@ -80,6 +80,10 @@ CTES.update(
             """
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM policy_scores QUALIFY rank <= 4""",
         ),
+        "cited": (
+            ("docs", "questions"),
+            "SELECT 'q_' || k AS question_id, document_id AS chunk_id, tenant_id FROM docs WHERE 'q_' || k IN (SELECT question_id FROM questions)",
+        ),
         "vector_index": (
             (),
             f"""
@@ -374,12 +378,12 @@ ORACLE = {
         FROM conversations GROUP BY ALL""",
     "slo_report": sql(
         f"""SELECT day, metric, round(value, 6) AS value, {_MET} AS met FROM measured""",
-        "log", "runs", "routed", "policy_hits",
+        "log", "runs", "routed", "cited",
         extra={
             "daily": _DAILY,
             "isolation": f"""SELECT {_LOG_DAY} AS day, count(owner) FILTER (owner <> authenticated_tenant_id) AS cross_tenant_leaks,
                 count(DISTINCT question_id) FILTER (tenant_id <> authenticated_tenant_id AND owner IS NOT NULL) AS tenant_boundary_violations
-                FROM (SELECT q.*, h.tenant_id AS owner FROM questions q LEFT JOIN policy_hits h USING (question_id)) GROUP BY ALL""",
+                FROM (SELECT q.*, h.tenant_id AS owner FROM questions q LEFT JOIN cited h USING (question_id)) GROUP BY ALL""",
             "measured": " UNION ALL ".join(
                 [f"SELECT day, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM daily" for m in _DATA_METRICS]
                 + [
@@ -403,12 +407,12 @@ ORACLE = {
         UNION ALL SELECT 'guardrail_compliance', d, CAST(d AS TIMESTAMP) FROM (
             SELECT {_LOG_DAY} AS d, avg(guardrail_passed::INTEGER) AS rate FROM log GROUP BY ALL) WHERE rate < 0.99
         UNION ALL SELECT 'cross_tenant', question_id, asked_at FROM questions WHERE tenant_id <> authenticated_tenant_id
-        UNION ALL SELECT 'cross_tenant_leak', chunk_id, asked_at FROM policy_hits h JOIN questions q USING (question_id)
+        UNION ALL SELECT 'cross_tenant_leak', chunk_id, asked_at FROM cited h JOIN questions q USING (question_id)
             WHERE h.tenant_id <> q.authenticated_tenant_id
         UNION ALL SELECT 'query_p95', 'all', min(m) FROM (
             SELECT m, m - row_number() OVER (ORDER BY m) * INTERVAL 1 MINUTE AS island FROM (SELECT DISTINCT grp AS m FROM ({_p('latency_ms', 0.95, "date_trunc('minute', asked_at)")}) WHERE v > 1500))
             GROUP BY island HAVING count(*) >= 2)""",
-        "log", "runs", "questions", "policy_hits",
+        "log", "runs", "questions", "cited",
     ),
     "latency_alerts": sql(
         f"""SELECT 'query_p95' AS alert, 'all' AS subject, {stamp('min(m)', 'since')} FROM (
