@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.plans.common import materialize
 
-__all__ = ["FOLDS", "batches_of", "held_out", "is_training", "materialize", "table"]
+__all__ = ["FOLDS", "batches_of", "every_column", "held_out", "is_training", "materialize", "numbered", "table"]
 
 #: One fold of five is held out of every fit.
 FOLDS = 5
@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def every_column(df: DataFrame) -> list[Column]:
+    """All columns as they are, whatever signs their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1 and so on: a map over batches takes no names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Rows that no fit may see; a row without an id is held out too."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

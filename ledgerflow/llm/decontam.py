@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import batches_of
+from ledgerflow.llm.common import batches_of, numbered
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -269,14 +269,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, item: str = "item_id", text: str = "text", **how) -> DataFrame:
     """The documents without those that match an item."""
+    names, column = docs.columns, f"c{docs.columns.index(text)}"
+    rows = numbered(docs)
     for part in parts(benchmark, item=item, **how):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in batches_of(batch, text, BYTES_AT_ONCE):
-                    free = [not m for m in shared.value.matches(piece.column(text).to_pylist())]
+                for piece in batches_of(batch, column, BYTES_AT_ONCE):
+                    free = [not m for m in shared.value.matches(piece.column(column).to_pylist())]
                     yield piece.filter(pa.array(free))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        rows = rows.mapInArrow(clean, rows.schema)
+    return rows.toDF(*names)

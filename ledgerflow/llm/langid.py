@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerflow.llm.common import batches_of
+from ledgerflow.llm.common import batches_of, numbered
 
 UNKNOWN = "und"
 DIMENSIONS = 2048
@@ -193,23 +194,24 @@ def fit(docs: DataFrame, *, key: str, text: str, language: str, training: Column
     return fit_model(np.array([r["features"] for r in found], np.float32), [r["lang"] for r in found])
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The documents with `lang_pred` and `score`."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+def predict(docs: DataFrame, model: Model, *, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents with the language and the score `into` two columns, in place of columns that have these names."""
+    rows = docs.drop(*[name for name in into if name in docs.columns])
+    names, column = rows.columns, f"c{rows.columns.index(text)}"
+    rows = numbered(rows)
+    schema = T.StructType([*rows.schema.fields, T.StructField("found", T.StringType()), T.StructField("sure", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_ in batches_of(batch, text, BYTES_AT_ONCE):
+            for slice_ in batches_of(batch, column, BYTES_AT_ONCE):
                 for low in range(0, slice_.num_rows, ROWS_AT_ONCE):
                     part = slice_.slice(low, ROWS_AT_ONCE)
-                    texts = part.column(text)
+                    texts = part.column(column)
                     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                     found, sure = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                     if model.languages and lettered.any():
                         at = np.flatnonzero(lettered)
                         found[at], sure[at] = model.predict(trigram_features(texts.take(pa.array(at))))
-                    yield pa.record_batch([*part.columns, pa.array(found, pa.string()), pa.array(sure)], [*names, "lang_pred", "score"])
+                    yield pa.record_batch([*part.columns, pa.array(found, pa.string()), pa.array(sure)], schema.names)
 
-    return docs.select(*names).mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).toDF(*names, *into)

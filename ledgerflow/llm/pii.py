@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import materialize
+from ledgerflow.llm.common import every_column, materialize
 
 #: Kinds in the order of results; the last three have no base expression.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -211,7 +211,7 @@ def proposals(docs: DataFrame, *, key: str = "doc_id", text: str = "text", whole
 
     With `whole_rows` each row also comes along as the struct `row`; else no text does.
     """
-    carried = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    carried = [F.struct(*every_column(docs)).alias("row")] if whole_rows else []
     df = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     # A match far from valid is no proposal; one that fails its check is, as evidence against.
     near = {
@@ -355,9 +355,9 @@ def redacted(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     Spans are found and applied within the row: nothing is joined, and rows that share a key stay apart.
     """
     found = personal_data(docs, key=key, text=text, whole_rows=True)
-    value = F.col("row")[text]
+    value = F.col("row").getField(text)
     clean = F.when(F.size("spans") > 0, masked(value, F.col("spans"))).otherwise(value)
-    return found.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    return found.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def masked(text: Column, spans: Column) -> Column:

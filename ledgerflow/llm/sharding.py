@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import materialize
+from ledgerflow.llm.common import every_column, materialize
 
 
 def text_size(text: Column) -> Column:
@@ -33,7 +33,7 @@ def byte_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sha
 
     With `whole_rows` each row also comes along as the struct `row`; else no text is moved.
     """
-    carried = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    carried = [F.struct(*every_column(docs)).alias("row")] if whole_rows else []
     sized = docs.select(
         F.col(key).alias("key"), text_size(F.col(text)).alias("size"), text_checksum(F.col(text)).alias("crc"),
         # Splits a key that many rows share.

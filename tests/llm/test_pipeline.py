@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerflow.llm import neardup
@@ -26,7 +27,10 @@ def stages(spark):
         (900_005, first["text"], None, "s", 9), (900_006, "mail me at some.one@example.com please, she said to him", None, "s", 9), (None, "no id but a text of its own with words", "en", "s", 9),
         (900_006, "mail me at some.one@example.com please, she said to him", None, "s", 9),
     ]
-    docs = materialize(docs.unionByName(spark.createDataFrame(odd, docs.schema)), "test-documents")
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    # Columns of other tables may come along; they stay as they are.
+    docs = docs.withColumns({"score": F.lit(-1.0), "id": F.lit("other"), "row.at": F.lit(7), "fp": F.lit("f"), "spans": F.array(F.lit(1))})
+    docs = materialize(docs, "test-documents")
     states = [docs]
     for _, stage in corpus_pipeline.STAGES:
         states.append(materialize(stage(spark, states[-1], SF), "test-stage"))
@@ -37,6 +41,7 @@ def test_stages_are_the_dealt_ones(stages):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     _, columns = stages
     assert all(c == columns[0] for c in columns[:-1])
+    assert {(r["score"], r["id"], r["row.at"], r["fp"], tuple(r["spans"])) for rows in stages[0][:-1] for r in rows} == {(-1.0, "other", 7, "f", (1,))}
 
 
 def test_language_drops_only_what_has_no_letters(stages):
