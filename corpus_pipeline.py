@@ -17,8 +17,8 @@ from ledgerflow.llm.common import is_training, materialize, table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; one that none was stated for gets the predicted one."""
     model = langid.fit(docs, key="doc_id", text="text", language="lang", training=is_training("doc_id"))
-    found = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, model, into=("_predicted", "_certainty")).where(F.col("_predicted") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "_predicted")).drop("_predicted", "_certainty")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
