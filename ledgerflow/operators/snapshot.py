@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerflow import schemas
 from ledgerflow.operators import quality
 
 # The payload fields of an invoice event.
@@ -51,28 +52,14 @@ def invoice_candidates(events: DataFrame) -> DataFrame:
 
 
 def type_invoice_payload(events: DataFrame) -> DataFrame:
-    fields = extract_payload(events, INVOICE_PAYLOAD)
-    return fields.select(
-        "tenant_id",
-        F.col("entity_id").alias("invoice_id"),
-        "event_id",
-        "batch_id",
-        "payload_json",
-        "updated_at",
-        "emitted_at",
-        "source_sequence",
-        "customer_id",
-        "engagement_id",
-        "invoice_number",
-        F.col("invoice_amount").alias("raw_invoice_amount"),
-        F.col("invoice_amount").try_cast("double").alias("invoice_amount"),
-        "currency",
-        "status",
-        F.col("due_date").alias("raw_due_date"),
-        F.col("due_date").try_cast("date").alias("due_date"),
-        F.col("invoice_date").alias("raw_invoice_date"),
-        F.col("invoice_date").try_cast("date").alias("invoice_date"),
-        (F.col("op") == "delete").alias("is_deleted"),
+    """Every payload field; one with a type of its own also keeps its raw text."""
+    columns = []
+    for name in INVOICE_PAYLOAD:
+        kind = schemas.SILVER_INVOICES[name].dataType.simpleString()
+        columns += [name] if kind == "string" else [F.col(name).alias(f"raw_{name}"), F.col(name).try_cast(kind).alias(name)]
+    envelope = ("event_id", "batch_id", "payload_json", "updated_at", "emitted_at", "source_sequence")
+    return extract_payload(events, INVOICE_PAYLOAD).select(
+        "tenant_id", F.col("entity_id").alias("invoice_id"), *envelope, *columns, (F.col("op") == "delete").alias("is_deleted")
     )
 
 
@@ -87,22 +74,14 @@ def validate_invoices(candidates: DataFrame, *, validate_deletes: bool = True) -
 
 def curated_invoices(validated: DataFrame, *extra: str) -> DataFrame:
     """Valid candidates in the silver layout, followed by any extra columns asked for."""
-    return quality.split(validated)[0].select(
-        "tenant_id", "invoice_id", "customer_id", "engagement_id", "invoice_number", "invoice_amount", "currency",
-        "status", "due_date", "invoice_date", "updated_at",
-        F.col("event_id").alias("source_event_id"),
-        F.col("batch_id").alias("source_batch_id"),
-        "is_deleted",
-        *extra,
-    )
+    rows = quality.split(validated)[0].withColumns({"source_event_id": F.col("event_id"), "source_batch_id": F.col("batch_id")})
+    return rows.select(*schemas.SILVER_INVOICES.fieldNames(), *extra)
 
 
 def quarantined_invoices(validated: DataFrame, quarantined_at=None) -> DataFrame:
-    return quality.split(validated)[1].select(
-        "tenant_id", "invoice_id", "event_id", "batch_id", "payload_json", "raw_invoice_amount", "raw_due_date",
-        "raw_invoice_date", "quality_errors", "updated_at", "emitted_at", "source_sequence",
-        (F.current_timestamp() if quarantined_at is None else quarantined_at).alias("quarantined_at"),
-    )
+    """Rejected candidates in the quarantine layout."""
+    rows = quality.split(validated)[1].withColumn("quarantined_at", F.current_timestamp() if quarantined_at is None else quarantined_at)
+    return rows.select(*schemas.QUARANTINED_INVOICES.fieldNames())
 
 
 def entity_snapshot(events: DataFrame, entity: str, key: str, fields: tuple[str, ...], required: tuple[str, ...] = ()) -> DataFrame:
