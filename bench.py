@@ -29,7 +29,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": str(2 * int(cpus)),
             # The tables are single files.
-            "ledgerflow.input.partitions": cpus,
+            "spark.ledgerflow.input.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
             "spark.ui.showConsoleProgress": "false",
         },

@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_out(rows: DataFrame) -> DataFrame:
-    """Rows over as many tasks as the session asks for in `ledgerflow.input.partitions`, for heavy work on tables
+    """Rows over as many tasks as the session asks for in `spark.ledgerflow.input.partitions`, for heavy work on tables
     stored in too few files; otherwise as they are stored."""
-    tasks = rows.sparkSession.conf.get("ledgerflow.input.partitions", None)
+    tasks = rows.sparkSession.conf.get("spark.ledgerflow.input.partitions", None)
     return rows.repartition(int(tasks)) if tasks else rows
 
 
