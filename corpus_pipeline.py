@@ -38,7 +38,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
-    return packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    vocabulary, tokenizer = map(public_tokenizers.path, ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+    return packing.pack_texts(docs, vocabulary, public_tokenizers.PATTERN, tokenizer=tokenizer)
 
 
 STAGES = [

@@ -18,6 +18,7 @@ itself; pieces of one length are interchangeable. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,12 +42,21 @@ STRETCH = 1 << 17
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """A byte-level vocabulary from a file of base64 tokens and ranks; special strings are ordinary text."""
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizer's JSON file takes out of a text as tokens of their own, with their ids."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that depend on the text around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, pattern: str, tokenizer: str | None = None) -> tiktoken.Encoding:
+    """A byte-level vocabulary from a file of base64 tokens and ranks, with the added tokens of a tokenizer's JSON file; without it, their strings are ordinary text."""
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(tokenizer) if tokenizer else {})
 
 
 def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
@@ -61,7 +71,7 @@ def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
 
 
 def token_ids(text: str | None, encoding: tiktoken.Encoding, end_id: int = END_ID) -> np.ndarray:
-    parts = [np.array(encoding.encode_ordinary(s), "<u4") for s in stretches(text or "")]
+    parts = [np.array(encoding.encode(s, allowed_special="all"), "<u4") for s in stretches(text or "")]
     return np.concatenate([*parts, np.array([end_id], "<u4")])
 
 
@@ -75,7 +85,7 @@ def pieces(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, np.
 
 def cut_texts(
     docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    end_id: int = END_ID, with_ids: bool = False,
+    end_id: int = END_ID, with_ids: bool = False, tokenizer: str | None = None,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32 and, if asked for, ids) of every piece of every text.
 
@@ -85,7 +95,7 @@ def cut_texts(
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(vocabulary, pattern)
+        encoding = encoder(vocabulary, pattern, tokenizer)
         for batch in batches:
             for part in batches_of(batch, "text", BYTES_AT_ONCE):
                 found = [
@@ -204,10 +214,10 @@ def pack(stored: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_texts(
     docs: DataFrame, vocabulary: str, pattern: str, *, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    end_id: int = END_ID, with_ids: bool = False,
+    end_id: int = END_ID, with_ids: bool = False, tokenizer: str | None = None,
 ) -> DataFrame:
     """(key, piece, start, length, ids_crc32, [ids,] sequence_id, offset) of every piece of every text."""
-    cut = cut_texts(docs, vocabulary, pattern, key=key, text=text, capacity=capacity, end_id=end_id, with_ids=with_ids)
+    cut = cut_texts(docs, vocabulary, pattern, key=key, text=text, capacity=capacity, end_id=end_id, with_ids=with_ids, tokenizer=tokenizer)
     packed = pack(materialize(cut, "packing-pieces"), capacity=capacity)
     return packed.select(*cut.columns, "sequence_id", "offset").withColumnRenamed("id", key)
 

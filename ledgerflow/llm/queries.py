@@ -12,11 +12,12 @@ from ledgerflow.llm import decontam, langid, licenses, neardup, packing, pii, qu
 from ledgerflow.llm.common import held_out, is_training, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+    return packing.pack_texts(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, tokenizer=TOKENIZER)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from ledgerflow.llm import packing
+from ledgerflow.llm.queries import op1_pack
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -100,3 +102,18 @@ def test_pieces_are_whole_and_sequences_gapless(spark, docs):
 
 def test_empty_table(spark, docs):
     assert packing.pack_texts(docs.limit(0), VOCABULARY, PATTERN).count() == 0
+
+
+def test_added_tokens_inside_a_text(spark, tmp_path):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    long = "word thing " * 20_000
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", " <|endoftext|>  \n<|endoftext", "<|ENDOFTEXT|>", long + "<|endoftext|>" + long + "tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for packed in (op1_pack(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        found = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect())
+        expected = []
+        for i, text in enumerate(texts):
+            ids = np.array([*reference.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+            expected += [(i, start, len(piece), zlib.crc32(piece.tobytes())) for start, piece in packing.pieces(ids)]
+        assert found == sorted(expected)
