@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression with a label, a priority and the literals that a text must hold for it to match. One pass
-of a keyword automaton finds the anchors of a text; most texts have none and are done. Only rules whose literals are all
-there run, over the whole text. Detections are then taken by priority, longer ones first; one that lies within a
+A rule is a regular expression with a label, a priority and the literals that a text must hold for it to match, which are read
+off the parsed expression. One pass of a keyword automaton finds the anchors of a text; most texts have none and are done. Only
+rules whose literals are there run, over the whole text. Detections are then taken by priority, longer ones first; one that lies within a
 detection already taken is suppressed. The rules are written as families (a name, its versions, its short form, its
 address) times the forms in which a license is stated, which gives some hundreds.
 
@@ -16,6 +16,8 @@ rule order. Repeated rows give repeated results. An empty table gives no rows. O
 from __future__ import annotations
 
 import re
+from re import _constants as ops
+from re import _parser
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -99,27 +101,27 @@ FAMILIES = (
     ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: international| unported| generic| public| licen[sc]e)*", "1.0 2.0 2.5 3.0 4.0", "cc by nc nd", r"creativecommons\.org/licenses/by-nc-nd/"),
 )
 
-# Sentences that grant or reserve rights. label; form; expression; literals that it needs.
+# Sentences that grant or reserve rights. label; form; expression.
 SENTENCES = (
-    ("mit", "grant", "permission is hereby granted free of charge to any person obtaining a copy", ("hereby", "obtaining a copy")),
-    ("isc", "grant", "permission to use copy modify and or distribute this software for any purpose", ("permission", "for any purpose")),
-    ("bsd", "grant", "redistribution and use in source and binary forms", ("redistribution", "binary")),
-    ("bsd-3-clause", "grant", "neither the name of [^\n]{1,200}? may be used to endorse or promote products", ("neither", "endorse")),
-    ("bsd-4-clause", "grant", "all advertising materials mentioning features or use of this software", ("advertising", "materials")),
-    ("unlicense", "grant", "this is free and unencumbered software released into the public domain", ("unencumbered",)),
-    ("zlib", "grant", "altered source versions must be plainly marked as such", ("altered", "plainly marked")),
-    ("gpl", "grant", "under the terms of the gnu general public licen[sc]e as published by the free software foundation", ("general", "foundation")),
-    ("lgpl", "grant", "under the terms of the gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation", ("general", "foundation")),
-    ("agpl", "grant", "under the terms of the gnu affero general public licen[sc]e as published by the free software foundation", ("general", "foundation")),
-    ("mpl-2.0", "grant", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2\.0", ("source code form",)),
-    ("public-domain", "statement", "(?:released|dedicated|placed)(?: in| into| to)? the public domain", ("public", "domain")),
-    ("proprietary", "statement", "(?:proprietary|confidential) and (?:proprietary|confidential)", ("proprietary", "confidential")),
-    ("proprietary", "statement", "(?:may not|must not|no part of [^\n]{1,80}? may) be (?:reproduced|copied|redistributed)", ("may", "be")),
-    ("reserved", "statement", "all rights (?:are )?reserved", ("rights", "reserved")),
-    ("reserved", "statement", "tous droits réservés", ("droits",)),
-    ("reserved", "statement", "todos los derechos reservados", ("derechos",)),
-    ("reserved", "statement", "alle rechte vorbehalten", ("rechte", "vorbehalten")),
-    ("copyright", "notice", r"(?:copyright|\(c\)|©) (?:\(c\) |© )?(?:19|20)[0-9]{2}", ("20",)),
+    ("mit", "grant", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", "grant", "permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd", "grant", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", "grant", "neither the name of [^\n]{1,200}? may be used to endorse or promote products"),
+    ("bsd-4-clause", "grant", "all advertising materials mentioning features or use of this software"),
+    ("unlicense", "grant", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "grant", "altered source versions must be plainly marked as such"),
+    ("gpl", "grant", "under the terms of the gnu general public licen[sc]e as published by the free software foundation"),
+    ("lgpl", "grant", "under the terms of the gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation"),
+    ("agpl", "grant", "under the terms of the gnu affero general public licen[sc]e as published by the free software foundation"),
+    ("mpl-2.0", "grant", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2\.0"),
+    ("public-domain", "statement", "(?:released|dedicated|placed)(?: in| into| to)? the public domain"),
+    ("proprietary", "statement", "(?:proprietary|confidential) and (?:proprietary|confidential)"),
+    ("proprietary", "statement", "(?:may not|must not|no part of [^\n]{1,80}? may) be (?:reproduced|copied|redistributed)"),
+    ("reserved", "statement", "all rights (?:are )?reserved"),
+    ("reserved", "statement", "tous droits réservés"),
+    ("reserved", "statement", "todos los derechos reservados"),
+    ("reserved", "statement", "alle rechte vorbehalten"),
+    ("copyright", "notice", r"(?:copyright|\(c\)|©) (?:\(c\) |© )?(?:19|20)[0-9]{2}"),
 )
 
 
@@ -128,7 +130,8 @@ class Rule:
     label: str
     form: str
     pattern: re.Pattern
-    needs: tuple[str, ...]
+    #: Of each of these a matching text holds at least one.
+    needs: tuple[tuple[str, ...], ...]
 
 
 def _gapped(name: str) -> str:
@@ -136,16 +139,37 @@ def _gapped(name: str) -> str:
     return name.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
 
 
-def _literals(expression: str) -> tuple[str, ...]:
-    """Runs of letters and digits that every match holds: those outside of groups, classes and alternatives."""
-    flat = expression.replace("\\.", ".")
-    while True:
-        shorter = re.sub(r"\([^()]*\)[?*+]?|\[[^]]*\][?*+]?", "\n", flat)
-        if shorter == flat:
-            break
-        flat = shorter
-    found = re.findall(r"[0-9a-z]{2,}", re.sub(r"\w\?", "\n", flat))
-    return tuple(dict.fromkeys(w for w in found if not re.search(rf"{w}[?*+|]", flat)))
+def _literals(expression) -> list[tuple[str, ...]]:
+    """For a parsed expression, sets of literals of each of which every match holds one."""
+    return [c for c in _clauses(expression, "") if all(len(w) > 1 or not w.isascii() for w in c)]
+
+
+def _clauses(parsed, run: str) -> list[tuple[str, ...]]:
+    """The same, with what directly precedes; single signs are in."""
+    found: list[tuple[str, ...]] = []
+    for op, value in parsed:
+        if op is ops.LITERAL:
+            run += chr(value)
+            continue
+        if op in (ops.AT, ops.ASSERT, ops.ASSERT_NOT):
+            continue
+        inner = []
+        if op is ops.BRANCH:
+            each = [_clauses(p, run) for p in value[1]]
+            if all(each):
+                best = [max(clauses, key=lambda c: (min(map(len, c)), -len(c))) for clauses in each]
+                inner = [tuple(dict.fromkeys(w for c in best for w in c))]
+        elif op is ops.SUBPATTERN:
+            inner = _clauses(value[-1], run)
+        elif op is ops.ATOMIC_GROUP:
+            inner = _clauses(value, run)
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT) and value[0] > 0:
+            inner = _clauses(value[2], "")
+        if run:
+            found.append((run,))
+        found += inner
+        run = ""
+    return [*found, (run,)] if run else found
 
 
 def _version(version: str) -> str:
@@ -161,31 +185,31 @@ def rules() -> tuple[Rule, ...]:
     under = under.replace(f"{GAP})?", f"{GAP})?")
     made = []
 
-    def add(label: str, form: str, expression: str, needs: tuple[str, ...]) -> None:
+    def add(label: str, form: str, expression: str) -> None:
+        needs = tuple(dict.fromkeys(_literals(_parser.parse(BEGIN + expression))))
         made.append(Rule(label, form, re.compile(BEGIN + expression), needs))
 
     for stem, name, versions, short, address in FAMILIES:
         gapped, brief = _gapped(name), _gapped(short)
-        needs, brief_needs = _literals(name) or ("licen",), _literals(short)
         for version in ["", *versions.split()]:
             label, tail = (f"{stem}-{version}", _version(version)) if version else (stem, "")
             close = END if not version else ""
-            add(label, "tag", rf"spdx-license-identifier:\s*{re.escape(label)}(?:-only|-or-later|\+)?(?![\w.])", ("spdx",))
-            add(label, "statement", under + gapped + tail + close, needs)
-            add(label, "name", gapped + tail + close, needs)
+            add(label, "tag", rf"spdx-license-identifier:\s*{re.escape(label)}(?:-only|-or-later|\+)?(?![\w.])")
+            add(label, "statement", under + gapped + tail + close)
+            add(label, "name", gapped + tail + close)
             if address:
                 where = address if not version else address + rf"[^\s]*?{re.escape(version)}" if not address.endswith(("/", "-", "_")) else address + re.escape(version)
-                add(label, "address", where + ("" if version else f"(?![{WORD}-])" if not versions else ""), _literals(address))
+                add(label, "address", where + ("" if version else f"(?![{WORD}-])" if not versions else ""))
             if short and (version or " " in short or stem in ("gpl", "lgpl", "agpl", "cc0", "wtfpl", "0bsd")):
-                add(label, "statement", under + brief + tail + close, brief_needs)
-                add(label, "short", brief + tail + close, brief_needs)
-    for label, form, expression, needs in SENTENCES:
-        add(label, form, _gapped(expression) + (END if form != "grant" else ""), needs)
+                add(label, "statement", under + brief + tail + close)
+                add(label, "short", brief + tail + close)
+    for label, form, expression in SENTENCES:
+        add(label, form, _gapped(expression) + (END if form != "grant" else ""))
     return tuple(made)
 
 
-#: A text without any of these matches no rule.
-ANCHORS = (
+#: Literals that are rare in other texts, preferred as anchors.
+RARE = (
     "licen", "spdx", "gpl", "cc by", "cc-by", "cc0", "creative", "commons", "copyright", "©", "(c)", "hereby", "permission", "redistribution", "unencumbered",
     "domain", "proprietary", "reserved", "droits", "derechos", "vorbehalten", "wtfpl", "mozilla", "apache", "eclipse", "bsd", "mpl", "epl", "cddl",
     "eupl", "cecill", "gfdl", "busl", "sspl", "odbl", "odc", "pddl", "ms-pl", "ms-rl", "mit-0", "mit 0", "ms pl", "ms rl", "reproduced", "copied", "redistributed", "advertising", "neither", "altered", "source code form",
@@ -193,24 +217,41 @@ ANCHORS = (
 
 
 @lru_cache(maxsize=1)
-def anchors() -> ahocorasick.Automaton:
+def gates() -> tuple[ahocorasick.Automaton, tuple[re.Pattern, ...]]:
+    """Anchors, and expressions for short forms of several short words: a text without any of both matches no rule."""
+    heads = sorted({" ".join(short.split()[:2]) for _, _, _, short, _ in FAMILIES if " " in short})
+    words = set()
+    for rule in rules():
+        if any(_gapped(head) in rule.pattern.pattern for head in heads):
+            continue
+        known = [c for c in rule.needs if all(any(w in literal for w in RARE) for literal in c)]
+        if known:
+            words.update(w for literal in known[0] for w in RARE if w in literal)
+        else:
+            # Few and long ones.
+            words.update(max(rule.needs, key=lambda c: (min(min(map(len, c)), 4), -len(c), min(map(len, c)))))
     made = ahocorasick.Automaton()
-    for word in ANCHORS:
+    for word in sorted(words):
         made.add_word(word, word)
     made.make_automaton()
-    return made
+    return made, tuple(re.compile(_gapped(head)) for head in heads)
+
+
+def _passes(lowered: str) -> bool:
+    anchors, heads = gates()
+    return next(anchors.iter(lowered), None) is not None or any(head.search(lowered) for head in heads)
 
 
 def detections(lowered: str) -> list[tuple[str, str, int, int]]:
     """(label, form, start, end) of the detections that stand, by start; offsets in characters."""
-    if next(anchors().iter(lowered), None) is None and not _CC_BY.search(lowered):
+    if not _passes(lowered):
         return []
     found, held = [], {}
     for order, rule in enumerate(rules()):
-        for word in rule.needs:
-            if word not in held:
-                held[word] = word in lowered
-            if not held[word]:
+        for words in rule.needs:
+            if words not in held:
+                held[words] = any(w in lowered for w in words)
+            if not held[words]:
                 break
         else:
             rank = FORMS[rule.form][0]
@@ -244,7 +285,6 @@ class _Cover:
         self.starts[at:last], self.ends[at:last] = [start], [end]
 
 
-_CC_BY = re.compile(f"{BEGIN}cc{GAP}by{END}")
 _BYTE_WORD = rb"0-9a-z\x80-\xff"
 _PHRASES = tuple(
     (label, phrase.split()[0].encode(), re.compile(rb"(?<![%b])%b(?![%b])" % (_BYTE_WORD, (b"[^%b]+" % _BYTE_WORD).join(phrase.encode().split()), _BYTE_WORD)))

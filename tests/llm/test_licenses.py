@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 import time
+from re import _constants as ops
+from re import _parser
 
 import pytest
 
@@ -104,3 +107,63 @@ def test_odd_rows(spark):
     got = licenses.labelled(licenses.scan(docs)).collect()
     check([r[1] for r in rows], got)
     assert licenses.labelled(licenses.scan(docs.limit(0))).count() == 0
+
+
+def sample(draw, parsed):
+    """A string that the parsed expression describes, lookarounds aside."""
+    made = ""
+    for op, value in parsed:
+        if op is ops.LITERAL:
+            made += chr(value)
+        elif op is ops.BRANCH:
+            made += sample(draw, draw.choice(value[1]))
+        elif op is ops.SUBPATTERN:
+            made += sample(draw, value[-1])
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT):
+            low = value[0]
+            made += "".join(sample(draw, value[2]) for _ in range(draw.randint(low, min(value[1], low + 1))))
+        elif op is ops.IN:
+            signs = " _-/ab19sc()\u00e9"
+            allowed = [c for c in signs if in_class(c, value)]
+            made += draw.choice(allowed) if allowed else chr(next(v for o, v in value if o is ops.LITERAL))
+        elif op is ops.NOT_LITERAL:
+            made += "a" if value != ord("a") else "b"
+    return made
+
+
+def in_class(sign, items):
+    negated, held = False, False
+    for op, value in items:
+        if op is ops.NEGATE:
+            negated = True
+        elif op is ops.LITERAL:
+            held |= ord(sign) == value
+        elif op is ops.RANGE:
+            held |= value[0] <= ord(sign) <= value[1]
+        elif op is ops.CATEGORY:
+            held |= {ops.CATEGORY_SPACE: sign.isspace(), ops.CATEGORY_NOT_SPACE: not sign.isspace()}[value]
+    return held != negated
+
+
+def test_every_rule_passes_the_gate_alone():
+    draw, matched = random.Random(9), set()
+    for order, rule in enumerate(licenses.rules()):
+        parsed = _parser.parse(rule.pattern.pattern)
+        for _ in range(12):
+            text = sample(draw, parsed)
+            if rule.pattern.search(text):
+                matched.add(order)
+                assert all(any(w in text for w in words) for words in rule.needs), (rule, text)
+                assert licenses.detections(text), (rule, text)
+    assert len(matched) == len(licenses.rules())
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Copyright 1998 Acme", "copyright"), ("(c) 1999", "copyright"), ("\u00a9 1987 Acme", "copyright"), ("https://scripts.sil.org/ofl", "ofl"), ("https://mariadb.com/bsl11", "busl"),
+        ("simplified bsd", "bsd-2-clause"), ("Creative Commons Zero", "cc0"), ("ms_pl", "ms-pl"), ("cc_by4.0", "cc-by-4.0"),
+    ],
+)
+def test_single_signs(text, label):
+    assert label in {d[0] for d in licenses.detections(text.lower())}
