@@ -101,12 +101,31 @@ FAMILIES = (
     ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: international| unported| generic| public| licen[sc]e)*", "1.0 2.0 2.5 3.0 4.0", "cc by nc nd", r"creativecommons\.org/licenses/by-nc-nd/"),
 )
 
+def _gapped(name: str) -> str:
+    """Blanks become gaps; a gap before an optional group belongs to the group already."""
+    return name.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
+
+
+#: A sign between words that does not end a sentence; a full stop does before white space, but behind some short forms.
+WITHIN = rf"(?:[^{WORD}.!?]|[.!?](?!\s)|(?:(?<=\binc)|(?<=\bltd)|(?<=\bcorp)|(?<=\bco)|(?<=\bllc)|(?<=\bno))\.)"
+
+
+def _words_up_to_the_next(start: str) -> str:
+    """Words of one sentence, over any number of lines, as far as the same start is not repeated: so texts stay linear."""
+    return rf"(?:(?!{GAP}{_gapped(start)}){WITHIN}++[{WORD}]++)+?"
+
+
+def _within_a_line(most: int) -> str:
+    """Words of at most so many signs on one line, sentence or not."""
+    return rf"[^{WORD}]++[^\n]{{0,{most - 1}}}?[{WORD}](?![{WORD}])"
+
+
 # Sentences that grant or reserve rights. label; form; expression.
 SENTENCES = (
     ("mit", "grant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "grant", "permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "grant", "redistribution and use in source and binary forms"),
-    ("bsd-3-clause", "grant", "neither the name of [^\n]{1,200}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "grant", rf"neither the name of(?:{_within_a_line(200)}|{_words_up_to_the_next('neither the name of')})? may be used to endorse or promote products"),
     ("bsd-4-clause", "grant", "all advertising materials mentioning features or use of this software"),
     ("unlicense", "grant", "this is free and unencumbered software released into the public domain"),
     ("zlib", "grant", "altered source versions must be plainly marked as such"),
@@ -116,7 +135,7 @@ SENTENCES = (
     ("mpl-2.0", "grant", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2\.0"),
     ("public-domain", "statement", "(?:released|dedicated|placed)(?: in| into| to)? the public domain"),
     ("proprietary", "statement", "(?:proprietary|confidential) and (?:proprietary|confidential)"),
-    ("proprietary", "statement", "(?:may not|must not|no part of [^\n]{1,80}? may) be (?:reproduced|copied|redistributed)"),
+    ("proprietary", "statement", rf"(?:may not|must not|no part of(?:{_within_a_line(80)}|{_words_up_to_the_next('no part of')})? may) be (?:reproduced|copied|redistributed)"),
     ("reserved", "statement", "all rights (?:are )?reserved"),
     ("reserved", "statement", "tous droits réservés"),
     ("reserved", "statement", "todos los derechos reservados"),
@@ -134,11 +153,6 @@ class Rule:
     needs: tuple[tuple[str, ...], ...]
 
 
-def _gapped(name: str) -> str:
-    """Blanks become gaps; a gap before an optional group belongs to the group already."""
-    return name.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
-
-
 def _literals(expression) -> list[tuple[str, ...]]:
     """For a parsed expression, sets of literals of each of which every match holds one."""
     return [c for c in _clauses(expression, "") if all(len(w) > 1 or not w.isascii() for w in c)]

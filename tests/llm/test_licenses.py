@@ -167,3 +167,25 @@ def test_every_rule_passes_the_gate_alone():
 )
 def test_single_signs(text, label):
     assert label in {d[0] for d in licenses.detections(text.lower())}
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products", "bsd-3-clause"),
+        (" * Neither the name of Acme Inc. nor the\n * names of its contributors may be used to endorse or\n * promote products derived", "bsd-3-clause"),
+        ("Neither the name of " + "the University of Somewhere, " * 12 + "\nnor others may be used to endorse or promote products", "bsd-3-clause"),
+        ("No part of this publication\nmay be reproduced", "proprietary"),
+        ("No part of this book, its cover, its pictures, its tables, its index, its notes\nor its supplements\nmay be copied", "proprietary"),
+        ("No part of it is new.\nCopies may be reproduced", None),
+    ],
+)
+def test_wrapped_sentences(text, label):
+    assert {d[0] for d in licenses.detections(text.lower())} == ({label} if label else set())
+
+
+def test_repeated_starts_stay_linear():
+    started = time.time()
+    for text in ("neither the name of endorse products ", "no part of it ", "no part of" + " " * 500, "neither the name of x. endorse products\n"):
+        licenses.detections(text * (200_000 // len(text)) + " may be used reproduced")
+    assert time.time() - started < 60
