@@ -129,3 +129,14 @@ def test_redaction(spark, text, masked):
     got = pii.redacted(docs)
     assert got.columns == docs.columns
     assert [tuple(r) for r in got.collect()] == [(1, masked, "k")] * 2
+
+
+def test_iban_check_digits(spark):
+    good = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+    bad = ["DE12ABCD3456EF78", "DE88370400440532013000", "GB82 WEST 1234 5698 7654 23", "FR1420041010050500013M02607"]
+    rows = [(i, f"my iban is {code} here") for i, code in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forms = {r["id"]: [f["form"] for f in r["found"] if f["kind"] == "iban"] for r in pii.proposals(docs).collect()}
+    assert forms == {i: [int(i < len(good))] for i in range(len(rows))}
+    spans = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "iban"] for r in pii.personal_data(docs).collect()}
+    assert not any(spans[i] for i in range(len(good), len(rows)))
