@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ledgerflow.plans.common import materialize
 
-__all__ = ["FOLDS", "batches_of", "every_column", "held_out", "is_training", "materialize", "numbered", "table"]
+__all__ = ["FOLDS", "batches_of", "every_column", "held_out", "is_training", "materialize", "numbered", "table", "with_facts"]
 
 #: One fold of five is held out of every fit.
 FOLDS = 5
+#: A key with more than one row in so many is hot; there are fewer such keys than this.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +56,18 @@ def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[
     for start, stop in zip(offsets, [*offsets[1:], batch.num_rows]):
         if stop > start:
             yield batch.slice(start, stop - start)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, *, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Every row with the facts of its key, nulls where there are none; `facts` has one row per key.
+
+    Rows of a hot key stay where they are: fewer than `hot_keys` keys can hold more than one row in `hot_keys` each, so their facts
+    are broadcast. All others meet their facts in a shuffle. Both tables are read more than once, so they should be stored.
+    """
+    total = rows.count()
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = materialize(counted.where(F.col("_rows") * hot_keys > total).select(key), "hot-keys")
+    few = F.broadcast(hot.join(facts, key, "left"))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").where(F.col(key).isNotNull()).join(facts, key, "left")
+    without = rows.where(F.col(key).isNull())
+    return rows.join(few, key).unionByName(rest).unionByName(without, allowMissingColumns=True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import decontam, langid, licenses, neardup, packing, pii, quality, sharding, topk, wrapper
+from ledgerflow.llm import audit, decontam, langid, licenses, neardup, packing, pii, quality, sharding, topk, wrapper
 from ledgerflow.llm.common import held_out, is_training, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +75,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_pii": op2_pii,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_licenses": op9_licenses,
     "op10_shards": op10_shards,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -125,4 +130,43 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM dealt
     """,
+    "op13_filter_audit": r"""
+        WITH worded AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), marks AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+        ), failed AS (
+            SELECT part, good, toxic,
+                   CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS bits
+            FROM worded AS w LEFT JOIN marks AS m ON w.doc_id = m.doc_id
+        ), counted AS (
+            SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, bits
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+        ), orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ), steps AS (
+            SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0) AS earlier
+            FROM orders, range(1, 6) AS s(step)
+        ), sums AS (
+            SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+                   CAST(coalesce(sum(n) FILTER (bits & (earlier + bit) = 0), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (bits & earlier = 0 AND bits & bit <> 0), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (bits & earlier <> 0 AND bits & bit <> 0), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (bits = bit), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (bits & earlier = 0 AND bits & bit <> 0), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(toxic) FILTER (bits & earlier = 0 AND bits & bit <> 0), 0) AS BIGINT) AS toxic_lost
+            FROM counted, steps
+            GROUP BY part, filter_order, step, bit
+        )
+        SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM sums
+    """,
 }
