@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import audit, decontam, langid, licenses, neardup, packing, pii, quality, sharding, topk, wrapper
+from ledgerflow.llm import audit, conversations, decontam, langid, licenses, neardup, packing, pii, quality, sharding, topk, wrapper
 from ledgerflow.llm.common import held_out, is_training, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +75,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_licenses": op9_licenses,
     "op10_shards": op10_shards,
+    "op12_conversations": op12_conversations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -130,6 +135,68 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM dealt
     """,
+    # The cheapest audit that reaches each of the four states, row by row; an audit names its lines, so only the least is kept.
+    "op12_conversations": r"""
+        WITH RECURSIVE steps AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS step
+        ), given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'),
+                       lambda h: CAST('0x' || h AS UBIGINT)) AS bytes
+            FROM conversations
+        ), coded AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes),
+                lambda c, b: xor(step[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), 4294967295::UBIGINT) % 20 AS code
+            FROM given, steps
+        ), worn AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM coded WHERE code <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nth FROM worn
+        ), told AS (
+            SELECT *, left(role, 1) AS initial, CASE
+                   WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                   left(lag(role) OVER (PARTITION BY conv_id ORDER BY nth), 1) AS earlier
+            FROM placed
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(nth) AS n
+            FROM told GROUP BY conv_id
+        ), ways AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS nth, {'c': 0::BIGINT, 'a': '', 'l': ''} AS s0, {'c': 1000000000::BIGINT, 'a': '', 'l': ''} AS s1,
+                   {'c': 3::BIGINT, 'a': 'I', 'l': 'user:' || chr(10)} AS s2, {'c': 6::BIGINT, 'a': 'II', 'l': 'user:' || chr(10) || 'assistant:' || chr(10)} AS s3
+            FROM counted
+            UNION ALL
+            SELECT conv_id, nth, s0, s1, p2, list_min([p3, {'c': p2.c + 3, 'a': p2.a || 'I', 'l': p2.l || 'assistant:' || chr(10)}])
+            FROM (
+                SELECT conv_id, nth, s0, s1, s3 AS p3, list_min([s2, {'c': s0.c + 3, 'a': s0.a || 'I', 'l': s0.l || 'user:' || chr(10)},
+                    {'c': s1.c + 3, 'a': s1.a || 'I', 'l': s1.l || 'user:' || chr(10)}, {'c': s3.c + 3, 'a': s3.a || 'I', 'l': s3.l || 'user:' || chr(10)}]) AS p2
+                FROM (
+                    SELECT w.conv_id, t.nth, {'c': s0.c + 4, 'a': s0.a || 'D', 'l': s0.l} AS s0,
+                        list_min([{'c': s1.c + 4, 'a': s1.a || 'D', 'l': s1.l}, {'c': s0.c + k + CASE WHEN initial = 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 'l': s0.l || line}]) AS s1,
+                        list_min([{'c': s2.c + 4, 'a': s2.a || 'D', 'l': s2.l}, list_min(list_transform([s0, s1, s3], lambda s: {'c': s.c + k + CASE WHEN initial = 'u' THEN 0 ELSE 3 END,
+                            'a': s.a || CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END, 'l': s.l || CASE WHEN initial = 'u' THEN line ELSE 'user:' || text || chr(10) END}))]) AS s2,
+                        list_min([{'c': s3.c + 4, 'a': s3.a || 'D', 'l': s3.l}, {'c': s2.c + k + CASE WHEN initial = 'a' THEN 0 ELSE 3 END,
+                            'a': s2.a || CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END, 'l': s2.l || CASE WHEN initial = 'a' THEN line ELSE 'assistant:' || text || chr(10) END}]) AS s3
+                    FROM ways AS w JOIN (
+                        SELECT conv_id, nth, initial, text, role || ':' || text || chr(10) AS line, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 1000000000 END AS k FROM told
+                    ) AS t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.nth = w.nth + 1
+                ) AS moved
+            ) AS joined
+        ), best AS (
+            SELECT c.*, list_min([s0, s3]) AS way FROM ways AS w JOIN counted AS c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.nth = c.n
+        )
+        SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(way.c, 0) AS BIGINT) AS cost, coalesce(way.a, '') AS audit,
+               sha256(coalesce(way.l[:-2], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN best AS b ON i.conv_id IS NOT DISTINCT FROM b.conv_id
+    """,
     "op13_filter_audit": r"""
         WITH worded AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
