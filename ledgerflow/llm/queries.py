@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import audit, conversations, decontam, langid, licenses, neardup, packing, pii, quality, sharding, topk, wrapper
+from ledgerflow.llm import audit, conversations, decontam, langid, licenses, neardup, packing, pii, quality, sharding, suffixes, topk, wrapper
 from ledgerflow.llm.common import held_out, is_training, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +75,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_licenses": op9_licenses,
     "op10_shards": op10_shards,
+    "op11_suffixes": op11_suffixes,
     "op12_conversations": op12_conversations,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -135,6 +144,32 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM dealt
     """,
+    # Every window of every text, by its digest.
+    "op11_suffixes": """
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), windows AS (
+            SELECT r, i, md5(substring(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(len(h) // 2 - 399)) AS i FROM texts WHERE len(h) >= 800)
+        ), again AS (
+            SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY m) > 1
+        ), fresh AS (
+            SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM again
+        ), runs AS (
+            SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM fresh
+        ), spans AS (
+            SELECT r, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY r, run
+        ), pieces AS (
+            SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS p FROM spans
+        ), cut AS (
+            SELECT t.r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans,
+                   string_agg(substring(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (s - p) AS BIGINT)), '' ORDER BY s) || substring(any_value(h), CAST(2 * max(e) + 1 AS BIGINT)) AS kept
+            FROM pieces JOIN texts AS t ON pieces.r = t.r
+            GROUP BY t.r
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM texts AS t LEFT JOIN cut AS c ON t.r = c.r
+    """,
     # The cheapest audit that reaches each of the four states, row by row; an audit names its lines, so only the least is kept.
     "op12_conversations": r"""
         WITH RECURSIVE steps AS (
