@@ -10,7 +10,8 @@ and a context, the bytes that these cover. One text has about one such suffix in
    very many contexts share is dealt to several buckets. In a bucket the suffixes are sorted token by token, only those still equal to a neighbour going on
    to the next token, and so are the bytes before them, backwards. The common lengths of neighbours then tell for each place of the lead in a
    window which windows are equal.
-3. Windows that are equal to the first or the last suffix of a bucket as far as they reach may go on in another bucket. They are compared across
+3. Contexts with windows that equal the first or the last suffix of a bucket, as far as the window reaches, may have equals in another bucket. They are
+   dealt again, by lead and the bytes before it, and compared as before. Windows that reach a boundary in both ways are compared across
    boundaries by digest, one row per bucket and different window.
 
 Texts with copies are repeated as a whole, by digest. Only texts that are partly repeated or hold a context to be sorted are shuffled.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +150,9 @@ def notable(stored: DataFrame, *, hot_keys: int = HOT_KEYS) -> DataFrame:
     return cold.select(*columns).unionByName(told.select(*columns)).where("repeated OR sorts")
 
 
+CONTEXT = "tid binary, at long, low int, high int, repeated boolean, fwd binary, back binary"
+
+
 def contexts(touched: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(tid, at, low, high, repeated, fwd, back): the bytes of each context from its lead on, and those before it, backwards."""
 
@@ -164,7 +169,7 @@ def contexts(touched: DataFrame, *, length: int = LENGTH) -> DataFrame:
                     names = ["tid", "at", "low", "high", "repeated", "fwd", "back"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return touched.select("tid", "text", "refs").mapInArrow(cut, "tid binary, at long, low int, high int, repeated boolean, fwd binary, back binary")
+    return touched.select("tid", "text", "refs").mapInArrow(cut, CONTEXT)
 
 
 def padded(strings: list[bytes], width: int) -> np.ndarray:
@@ -204,80 +209,133 @@ def common_length(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(differs.any(1), differs.argmax(1), rows.shape[1])
 
 
-FOUND = "tid binary, start long, stop long, digest binary"
+class Bucket:
+    """The contexts of one bucket, sorted from the lead on and, backwards, by what comes before it."""
+
+    def __init__(self, rows: pa.Table, length: int, lead: int):
+        self.length, self.lead, self.count = length, lead, rows.num_rows
+        self.tids, self.ats, self.fwds, self.backs = (rows.column(c).to_pylist() for c in ("tid", "at", "fwd", "back"))
+        self.low, self.high, self.repeated = (rows.column(c).to_numpy() for c in ("low", "high", "repeated"))
+        self.fwd, self.back = padded(self.fwds, length), padded(self.backs, max(length - lead, 1))
+        self.order, self.common = multikey_order(self.fwd)
+        self.back_order, self.back_common = multikey_order(self.back)
+
+    def classes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each place of the lead in a window: (place, rows, a row of each class of equal windows, the class of each row, sizes)."""
+        ahead, behind = np.empty(self.count, np.int64), np.empty(self.count, np.int64)
+        for shift in range(self.length - self.lead + 1):
+            rows = np.flatnonzero((self.low <= shift) & (shift <= self.high))
+            if not len(rows):
+                continue
+            ahead[self.order] = np.cumsum(self.common < self.length - shift)
+            behind[self.back_order] = np.cumsum(self.back_common < shift)
+            pairs = ahead[rows] * (self.count + 1) + behind[rows]
+            _, first, where, sizes = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+            yield shift, rows, rows[first], where, sizes
+
+    def stretches(self, known: np.ndarray) -> Iterator[tuple]:
+        """(tid, start, stop) of what the known windows (row, place of the lead) of rows that are not repeated as a whole cover."""
+        known[self.repeated] = False
+        turns = np.diff(np.pad(known, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        rows, begins = np.nonzero(turns == 1)
+        _, ends = np.nonzero(turns == -1)
+        for row, begin, end in zip(rows.tolist(), begins.tolist(), ends.tolist()):
+            yield self.tids[row], self.ats[row] - (end - 1), self.ats[row] - begin + self.length
+
+    def ahead_of_edges(self) -> np.ndarray:
+        """How far each suffix equals the bucket's first or last one."""
+        first, last = self.fwd[self.order[0]], self.fwd[self.order[-1]]
+        return np.maximum(common_length(self.fwd, first), common_length(self.fwd, last))
+
+    def behind_edges(self) -> np.ndarray:
+        """How far the bytes before each lead equal those of the first or the last row by lead and these bytes; -1 for another lead."""
+        leads = self.fwd[:, : self.lead]
+        order, _ = multikey_order(np.hstack([leads, self.back]))
+        far = [
+            np.where((leads == leads[edge]).all(1), common_length(self.back, self.back[edge]), -1) for edge in (order[0], order[-1])
+        ]
+        return np.maximum(*far)
+
+    def window(self, row: int, shift: int) -> bytes:
+        return self.backs[row][:shift][::-1] + self.fwds[row][: self.length - shift]
+
+
+FOUND = "tid binary, start long, stop long"
+
+
+def _forward(bucket: Bucket, alone: bool) -> Iterator[tuple]:
+    """Rows of FOUND and CONTEXT: stretches, and the contexts whose windows may go on in another bucket, from the least such place of the lead on."""
+    known = np.zeros((bucket.count, bucket.length - bucket.lead + 1), bool)
+    for shift, rows, _, where, sizes in bucket.classes():
+        known[rows, shift] = (sizes > 1)[where]
+    if not alone:
+        since = np.maximum(bucket.low, bucket.length - bucket.ahead_of_edges())
+        for row in np.flatnonzero(since <= bucket.high).tolist():
+            yield (
+                bucket.tids[row], None, None, bucket.ats[row], int(since[row]), int(bucket.high[row]), bool(bucket.repeated[row]),
+                bucket.fwds[row], bucket.backs[row],
+            )
+    for stretch in bucket.stretches(known):
+        yield (*stretch, *[None] * 6)
+
+
+def _backward(bucket: Bucket) -> Iterator[tuple]:
+    """Rows (tid, start, stop, digest): stretches without a digest, and a row with one for each different window that may go on in another bucket.
+
+    Where the bucket itself knows a window to be repeated, its row has no tid and vouches for its copies elsewhere.
+    """
+    known = np.zeros((bucket.count, bucket.length - bucket.lead + 1), bool)
+    edges = bucket.behind_edges()
+    for shift, rows, firsts, where, sizes in bucket.classes():
+        vouched = sizes > 1
+        known[rows, shift] = vouched[where]
+        np.logical_or.at(vouched, where, bucket.repeated[rows])
+        goes_on = edges[firsts] >= shift
+        for row, is_known in zip(firsts[goes_on].tolist(), vouched[goes_on].tolist()):
+            digest = xxhash.xxh3_128_digest(bucket.window(row, shift), seed=shift)
+            start = bucket.ats[row] - shift
+            yield (None, None, None, digest) if is_known else (bucket.tids[row], start, start + bucket.length, digest)
+    for stretch in bucket.stretches(known):
+        yield (*stretch, None)
+
+
+def _buckets(dealt: DataFrame, rows_of, schema: str, length: int, lead: int) -> DataFrame:
+    """What `rows_of` makes of each partition of contexts."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        for some in batched(rows_of(Bucket(pa.Table.from_batches(held), length, lead)), 1 << 16):
+            names = [c.split()[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[k.split()[1]]) for c, k in zip(zip(*some), schema.split(", "))], names=names)
 
+    return dealt.mapInArrow(compare, schema)
 
-def bucket_windows(batch: pa.Table, length: int, lead: int, alone: bool) -> Iterator[tuple]:
-    """Rows (tid, start, stop, digest) of one bucket: repeated stretches without a digest, and windows to be compared across boundaries with one.
 
-    A window that the bucket already knows to be repeated goes there without a tid, to vouch for its copies elsewhere. `alone` says that there is no other bucket.
-    """
-    tids, ats, fwds, backs = (batch.column(c).to_pylist() for c in ("tid", "at", "fwd", "back"))
-    low, high, repeated = (batch.column(c).to_numpy() for c in ("low", "high", "repeated"))
-    count, reach = len(tids), length - lead
-    fwd, back = padded(fwds, length), padded(backs, max(reach, 1))
-    order, common = multikey_order(fwd)
-    border, bcommon = multikey_order(back)
-    edges = np.zeros(count, np.int64) if alone else np.maximum(common_length(fwd, fwd[order[0]]), common_length(fwd, fwd[order[-1]]))
-    known = np.zeros((count, reach + 2), bool)
-    for shift in range(reach + 1):
-        led = (low <= shift) & (shift <= high)
-        if not led.any():
-            continue
-        ahead, behind = np.empty(count, np.int64), np.empty(count, np.int64)
-        ahead[order] = np.cumsum(common < length - shift)
-        behind[border] = np.cumsum(bcommon < shift)
-        rows = np.flatnonzero(led)
-        _, first, where, sizes = np.unique(ahead[rows] * (count + 1) + behind[rows], return_index=True, return_inverse=True, return_counts=True)
-        same = sizes > 1
-        known[rows, shift] = same[where]
-        if not alone:
-            vouched = same.copy()
-            np.logical_or.at(vouched, where, repeated[rows])
-            open_class = edges[rows[first]] >= length - shift
-            for row, is_known in zip(rows[first][open_class].tolist(), vouched[open_class].tolist()):
-                window = backs[row][:shift][::-1] + fwds[row][: length - shift]
-                digest = xxhash.xxh3_128_digest(window, seed=shift)
-                start = ats[row] - shift
-                yield (None, None, None, digest) if is_known else (tids[row], start, start + length, digest)
-    known[repeated] = False
-    # Runs of neighbouring shifts are one stretch.
-    turns = np.diff(np.pad(known, ((0, 0), (1, 0))).astype(np.int8), axis=1)
-    rows, begins = np.nonzero(turns == 1)
-    _, ends = np.nonzero(turns == -1)
-    for row, begin, end in zip(rows.tolist(), begins.tolist(), ends.tolist()):
-        yield tids[row], ats[row] - (end - 1), ats[row] - begin + length, None
+ARROW = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def sorted_repeats(stored: DataFrame, *, length: int = LENGTH, lead: int = LEAD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(tid, start, stop): stretches of stored contexts whose windows other contexts hold too."""
     buckets = max(1, -(-stored.count() // bucket_rows))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = []
-        for row in bucket_windows(pa.Table.from_batches(held), length, lead, buckets == 1):
-            rows.append(row)
-            if len(rows) == 1 << 16:
-                yield _found(rows)
-                rows = []
-        if rows:
-            yield _found(rows)
-
     dealt = stored.repartitionByRange(buckets, "fwd", "back", "tid", "at")
-    found = materialize(dealt.mapInArrow(compare, FOUND), "suffix-windows")
+    first = materialize(
+        _buckets(dealt, lambda b: _forward(b, buckets == 1), f"{FOUND}, {CONTEXT.removeprefix('tid binary, ')}", length, lead), "suffix-windows"
+    )
+    found = first.where("fwd IS NULL").select("tid", "start", "stop")
+    left = first.where("fwd IS NOT NULL").drop("start", "stop")
+    rows = left.count()
+    if not rows:
+        return found
+    # Contexts of one lead that lie in several buckets are dealt again, by what comes before the lead.
+    again = left.repartitionByRange(-(-rows // bucket_rows), F.substring("fwd", 1, lead), "back", "tid", "at")
+    second = materialize(_buckets(again, _backward, f"{FOUND}, digest binary", length, lead), "suffix-windows")
     # One row per bucket and window at most, so a list is no longer than the number of buckets.
     waiting = F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("tid", "start", "stop")))
-    across = found.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), waiting.alias("waiting")).where("n > 1")
+    across = second.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), waiting.alias("waiting")).where("n > 1")
     across = across.select(F.explode("waiting").alias("w")).select("w.*")
-    return found.where("digest IS NULL").select("tid", "start", "stop").unionByName(across)
-
-
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["tid", "start", "stop", "digest"])
+    return found.unionByName(second.where("digest IS NULL").select("tid", "start", "stop")).unionByName(across)
 
 
 KEPT = "tid binary, spans array<struct<start: bigint, stop: bigint>>, kept_sha256 string"
