@@ -26,9 +26,11 @@ _TIMED = {
 
 ORACLE = {
     "cdc_stream_ingest": LAKEHOUSE["cdc_decode"],
+    # Full batches of the most messages, and what is left.
     "cdc_microbatch": sql(
-        """SELECT "offset" % 3 AS batch_id, CAST(count(*) + count(*) FILTER ("offset" % 101 = 0) + count(*) FILTER ("offset" % 103 = 0) AS BIGINT) AS messages
-        FROM bronze GROUP BY ALL""",
+        """SELECT b AS batch_id, least(5000, messages - 5000 * b) AS messages
+        FROM (SELECT CAST(count(*) + count(*) FILTER ("offset" % 101 = 0) + count(*) FILTER ("offset" % 103 = 0) AS BIGINT) AS messages FROM bronze),
+             range((messages + 4999) // 5000) AS r(b)""",
         "bronze",
     ),
     "stream_dedup": sql(
