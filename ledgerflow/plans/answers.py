@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import chunking, evaluation, guardrails, metrics, retrieval, routing, slo, snapshot
+from ledgerflow.operators import chunking, evaluation, guardrails, metrics, retrieval, routing, slo, snapshot, term_index
 from ledgerflow.plans import inputs, medallion
 from ledgerflow.plans.answering import answer_questions as answer
 from ledgerflow.plans.common import materialize, portable, rounded
+from ledgerflow.session import work_dir
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,24 @@ def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(hits.select("question_id", "tenant_id", "chunk_id", F.round("score", 6).alias("score"), "rank"))
 
 
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holders of every word after three batches of upserts and deletions, each taken off and added to the stored counts alone."""
+    base = work_dir(spark, "term-index")
+    documents = inputs.documents(spark, sf_dir).withColumn("chunk_id", F.col("document_id"))
+    k = F.substring_index("document_id", "_", -1).cast("long")
+    # Every fifth document comes only later.
+    term_index.create(documents.where(k % 5 != 3), base)
+    changes = (
+        documents.where(k % 5 == 3).withColumn("deleted", F.lit(False)),
+        documents.where(k % 7 == 2).withColumn("text", F.col("title")).withColumn("deleted", k % 4 == 1),
+        documents.where(k % 9 == 4).withColumn("retention_state", F.when(k % 2 == 0, "archived").otherwise("active")).withColumn("deleted", F.lit(False)),
+    )
+    for version, change in enumerate(changes, 1):
+        term_index.apply(change, base, version, fold_every=2)
+    counts, sizes = term_index.holders(spark, base), term_index.tenants(spark, base)
+    return portable(counts.join(sizes, "tenant_id").select("tenant_id", "term", "holders", "row_count", "word_count"))
+
+
 def _case_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cases and their hits; some cases also get a foreign or an archived row, as a faulty search would return."""
     index = _index(spark, sf_dir)
@@ -301,7 +320,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         route_questions, route_terms, guardrail_context, eval_routing, eval_routing_misses, tenant_violations, retrieve_lexical,
-        retrieve_policy_ranked, retrieve_vector, retrieve_hybrid, eval_retrieval, eval_retrieval_cases, cross_tenant_leaks,
+        retrieve_policy_ranked, retrieve_vector, retrieve_hybrid, index_statistics, eval_retrieval, eval_retrieval_cases, cross_tenant_leaks,
         context_budget, retrieval_summary, context_policy, guardrail_checks, answer_contracts, eval_guardrails, answer_questions,
         query_metrics, stage_metrics, metrics_export, trace_scores, step_spans, latency_summary, token_usage, slo_report, slo_alerts,
         latency_alerts, context_budget_declared, eval_guardrail_checks, eval_guardrail_failures, pipeline_metrics,

@@ -250,6 +250,17 @@ ORACLE = {
         QUALIFY rank <= 4""",
         "hybrid_index", extra=_HYBRID,
     ),
+    "index_statistics": sql(
+        """SELECT tenant_id, term, holders, row_count, word_count FROM (SELECT tenant_id, term, count(*) AS holders FROM (
+            SELECT tenant_id, unnest(list_distinct(words)) AS term FROM kept) GROUP BY ALL)
+        JOIN (SELECT tenant_id, count(*) AS row_count, CAST(sum(len(words)) AS BIGINT) AS word_count FROM kept GROUP BY ALL) USING (tenant_id)""",
+        "docs",
+        extra={
+            # The newest of a document's changes: a state given anew (with its text as it was), a title for a text or a deletion, or the first state.
+            "kept": """SELECT tenant_id, regexp_extract_all(lower(CASE WHEN k % 9 <> 4 AND k % 7 = 2 THEN title ELSE text END), '[\\p{L}\\p{N}]+') AS words FROM docs
+                WHERE CASE WHEN k % 9 = 4 THEN k % 2 <> 0 WHEN k % 7 = 2 AND k % 4 = 1 THEN false ELSE retention_state = 'active' END""",
+        },
+    ),
     "eval_retrieval": sql(
         """SELECT count(*) AS cases, round_even(avg((r IS NOT NULL)::INTEGER), 2) AS hit_rate, round_even(avg(coalesce(1.0::DOUBLE / r, 0.0)), 2) AS mrr,
         round_even(avg((c.k % 41 <> 0)::INTEGER), 2) AS tenant_isolation_pass_rate, round_even(avg((c.k % 43 <> 0)::INTEGER), 2) AS retention_filter_pass_rate
