@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.plans.common import materialize
 
-__all__ = ["FOLDS", "batches_of", "every_column", "held_out", "is_training", "materialize", "numbered", "table", "with_facts"]
+__all__ = ["FOLDS", "batches_of", "every_column", "fresh_name", "held_out", "is_training", "materialize", "numbered", "table", "with_facts"]
 
 #: One fold of five is held out of every fit.
 FOLDS = 5
@@ -28,6 +28,14 @@ def every_column(df: DataFrame) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1 and so on: a map over batches takes no names with dots."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import batches_of, materialize
+from ledgerflow.llm.common import batches_of, fresh_name, materialize
 
 WORDS = 3
 SEED = 42
@@ -213,13 +213,14 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **ho
     What goes is joined against the documents, not what stays, because it is the smaller side.
     """
     identity = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
-    groups = materialize(near_duplicates(docs.select(identity.alias("_id"), text), key="_id", text=text, **how), "neardup-groups")
-    gone = groups.where("id <> component").select(F.col("id.id").alias("_gone"), F.col("id.hash").alias("_hash")).distinct()
-    again = (
-        groups.where("id = component").groupBy("id").count().where("count > 1")
-        .select(F.col("id.id").alias("_gone"), F.col("id.hash").alias("_hash"))
-    )
-    same = F.col(key).eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("_hash"))
+    rows = docs.select(identity.alias("_id"), F.col(text).alias("_text"))
+    groups = materialize(near_duplicates(rows, key="_id", text="_text", **how), "neardup-groups")
+    # Names that no column of the documents has.
+    gone_id, gone_hash = (fresh_name(docs, n) for n in ("gone_id", "gone_hash"))
+    named = F.col("id.id").alias(gone_id), F.col("id.hash").alias(gone_hash)
+    gone = groups.where("id <> component").select(*named).distinct()
+    again = groups.where("id = component").groupBy("id").count().where("count > 1").select(*named)
+    same = F.col(key).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_hash))
     once = docs.join(gone.unionByName(again), same, "left_anti")
     repeated = docs.join(again, same, "left_semi").dropDuplicates([key, text])
     return once.unionByName(repeated)

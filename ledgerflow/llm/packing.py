@@ -40,6 +40,9 @@ BYTES_AT_ONCE = 4 << 20
 #: and a letter, where the vocabulary's pattern always parts words.
 STRETCH = 1 << 17
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Runs of white space, by its Unicode property, that are encoded by themselves.
+LONG_RUN = 1 << 12
+_LONG_RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -59,6 +62,13 @@ def encoder(path: str, pattern: str, tokenizer: str | None = None) -> tiktoken.E
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(tokenizer) if tokenizer else {})
 
 
+@lru_cache(maxsize=4)
+def one_word(encoding: tiktoken.Encoding) -> tiktoken.Encoding:
+    """The same vocabulary for a text that the pattern takes as one word."""
+    ranks = {token: encoding.encode_single_token(token) for token in encoding.token_byte_values()}
+    return tiktoken.Encoding("word", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+
 def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
     start = 0
     while len(text) - start > most:
@@ -70,8 +80,26 @@ def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
     yield text[start:]
 
 
+def encoded(text: str, encoding: tiktoken.Encoding) -> Iterator[list[int]]:
+    """Ids of a text in parts.
+
+    The pattern looks ahead from every sign of a run of white space, for which the library's memory is bounded; so long runs are cut out by the
+    pattern's own rule: a run is one word, but for its last sign if a word follows. An added token ends a text.
+    """
+    start = 0
+    for run in _LONG_RUNS.finditer(text):
+        ends = run.end() == len(text) or any(text.startswith(t, run.end()) for t in encoding.special_tokens_set)
+        stop = run.end() if ends else run.end() - 1
+        for part in stretches(text[start : run.start()]):
+            yield encoding.encode(part, allowed_special="all")
+        yield one_word(encoding).encode_ordinary(text[run.start() : stop])
+        start = stop
+    for part in stretches(text[start:]):
+        yield encoding.encode(part, allowed_special="all")
+
+
 def token_ids(text: str | None, encoding: tiktoken.Encoding, end_id: int = END_ID) -> np.ndarray:
-    parts = [np.array(encoding.encode(s, allowed_special="all"), "<u4") for s in stretches(text or "")]
+    parts = [np.array(ids, "<u4") for ids in encoded(text or "", encoding)]
     return np.concatenate([*parts, np.array([end_id], "<u4")])
 
 

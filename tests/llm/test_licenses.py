@@ -189,3 +189,20 @@ def test_repeated_starts_stay_linear():
     for text in ("neither the name of endorse products ", "no part of it ", "no part of" + " " * 500, "neither the name of x. endorse products\n"):
         licenses.detections(text * (200_000 // len(text)) + " may be used reproduced")
     assert time.time() - started < 60
+
+
+@pytest.mark.parametrize("piece", [",scripts.sil.org/ofl", " docs.python.org/x", "docs.python.org/", "boost.org/license_", " elastic.co/licensing/elastic-license", "opensource.org/license", " apache license"])
+def test_repeated_addresses_stay_linear(piece):
+    spent = []
+    for n in (20_000, 40_000):
+        started = time.process_time()
+        licenses.detections(piece * n)
+        spent.append(time.process_time() - started)
+    assert spent[1] < 3 * spent[0] + 0.5
+
+
+def test_rules_are_quick_to_make():
+    # Each worker process makes them once.
+    started = time.process_time()
+    licenses.rules.__wrapped__()
+    assert time.process_time() - started < 5

@@ -66,6 +66,23 @@ def test_ids_equal_the_tokenizers_library():
     assert packing.token_ids(long, encoding)[:-1].tolist() == reference.encode(long, add_special_tokens=False).ids
 
 
+def test_long_white_space_equals_the_tokenizers_library(spark):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(tokenizer)
+    n = packing.LONG_RUN
+    runs = [" " * 2_000_000, "\n" * 1_500_000, "\t" * n, "\xa0" * (n + 7), " \n\t\r" * n, "\u2003\u3000" * n, " " * (n - 1), "\x1c" * (2 * n), "\x85" * n]
+    texts = [before + run + after for run in runs for before, after in (("x", "y"), ("", ""), ("it's ", " z"), ("a.", "\n<|endoftext|> b"), ("<|endoftext|>", "<|endoftext|>"), ("1", "\u200bq"))]
+    texts += [" " * n + "word" + "\n" * n + "9" + "\t" * n, "word " * 40_000 + " " * (3 * n) + "end " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    packed = packing.pack_texts(docs, VOCABULARY, PATTERN, tokenizer=tokenizer)
+    found = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect())
+    expected = []
+    for i, text in enumerate(texts):
+        ids = np.array([*reference.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        expected += [(i, start, len(piece), zlib.crc32(piece.tobytes())) for start, piece in packing.pieces(ids)]
+    assert found == sorted(expected)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     draw = random.Random(2)

@@ -30,6 +30,8 @@ def stages(spark):
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     # Columns of other tables may come along; they stay as they are.
     docs = docs.withColumns({"score": F.lit(-1.0), "id": F.lit("other"), "row.at": F.lit(7), "fp": F.lit("f"), "spans": F.array(F.lit(1))})
+    clashing = ["_predicted", "_certainty", "predicted", "Certainty", "_gone", "_hash", "gone_id", "GONE_HASH", "_id", "_text"]
+    docs = docs.withColumns({name: F.lit("mine") for name in clashing})
     docs = materialize(docs, "test-documents")
     states = [docs]
     for _, stage in corpus_pipeline.STAGES:
@@ -41,6 +43,7 @@ def test_stages_are_the_dealt_ones(stages):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     _, columns = stages
     assert all(c == columns[0] for c in columns[:-1])
+    assert {tuple(r)[-10:] for rows in stages[0][:-1] for r in rows} == {("mine",) * 10}
     assert {(r["score"], r["id"], r["row.at"], r["fp"], tuple(r["spans"])) for rows in stages[0][:-1] for r in rows} == {(-1.0, "other", 7, "f", (1,))}
 
 
@@ -92,3 +95,14 @@ def test_all_pieces_are_packed(stages):
 def test_run_gives_the_same(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and neardup.WORDS == 3
+
+
+def test_empty_table_and_long_runs(spark, tmp_path):
+    docs, benchmark = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(1, "x" + " " * 1_200_000 + "y", None, "s", 9), (2, "\n" * 1_200_000, "en", "s", 9), (3, "A clean text of some words.", "en", "s", 9)]
+    spark.createDataFrame(rows, docs.schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    # The second has no letter.
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 3}
