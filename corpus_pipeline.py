@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences; each stage calls one operator on all that the one before it kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next stage's documents. All but the last return the columns of `documents`.
+and read again as the next stage's documents. All but the last return the columns of `documents`, and any others that come along, as they are.
+
+Nulls and ties: a null or empty text, or one without a letter, goes with the first stage. Of repeated rows one stays, and of near duplicates the
+one with the smallest id; a document without an id stays if no other of its group has one. An empty table gives no rows. Texts of any length,
+also long runs of one sign, pass every stage whole.
 """
 
 from __future__ import annotations
@@ -11,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import decontam, langid, neardup, packing, pii
-from ledgerflow.llm.common import is_training, materialize, table
+from ledgerflow.llm.common import fresh_name, is_training, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; one that none was stated for gets the predicted one."""
     model = langid.fit(docs, key="doc_id", text="text", language="lang", training=is_training("doc_id"))
-    found = langid.predict(docs, model, into=("_predicted", "_certainty")).where(F.col("_predicted") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "_predicted")).drop("_predicted", "_certainty")
+    language, certainty = fresh_name(docs, "predicted"), fresh_name(docs, "certainty")
+    found = langid.predict(docs, model, into=(language, certainty)).where(F.col(language) != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", language)).drop(language, certainty)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
