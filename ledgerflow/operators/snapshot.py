@@ -7,7 +7,7 @@ map partition to the reducer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,9 @@ def validate_invoices(candidates: DataFrame, *, validate_deletes: bool = True) -
     return annotated.withColumn("quality_errors", F.when(F.col("is_deleted"), none).otherwise(F.col("quality_errors")))
 
 
+CURATED, QUARANTINED = "curated", "quarantined"
+
+
 def curated_invoices(validated: DataFrame, *extra: str) -> DataFrame:
     """Valid candidates in the silver layout, followed by any extra columns asked for."""
     rows = quality.split(validated)[0].withColumns({"source_event_id": F.col("event_id"), "source_batch_id": F.col("batch_id")})
@@ -111,3 +114,27 @@ def reconcile(events: DataFrame, validated: DataFrame) -> DataFrame:
         F.count_if(F.col("stage") == "curated").alias("curated"),
         F.count_if(F.col("stage") == "quarantined").alias("quarantined"),
     )
+
+
+def store_invoices(events: DataFrame, base: str) -> dict[str, int]:
+    """Write the current invoices and the rejected ones in one pass, and count on the way: raw events, candidates, curated, quarantined.
+
+    Both lie under `base`, apart by outcome; `stored_invoices` reads them. The counts are those of the write itself, so no job
+    counts anything again.
+    """
+    raw, staged = Observation(), Observation()
+    seen = events.where(F.col("entity_name") == "invoice").observe(raw, F.count(F.lit(1)).alias("raw_input"))
+    outcome = F.when(F.size("quality_errors") == 0, CURATED).otherwise(QUARANTINED)
+    rows = validate_invoices(invoice_candidates(seen)).withColumn("outcome", outcome)
+    counted = rows.observe(
+        staged, F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("outcome") == CURATED).alias("curated"),
+        F.count_if(F.col("outcome") == QUARANTINED).alias("quarantined"),
+    )
+    counted.write.mode("overwrite").partitionBy("outcome").parquet(base)
+    return {**raw.get, **staged.get}
+
+
+def stored_invoices(spark: SparkSession, base: str, outcome: str) -> DataFrame:
+    """The curated or the quarantined rows that `store_invoices` wrote; only their files are read."""
+    rows = spark.read.parquet(base).where(F.col("outcome") == outcome).drop("outcome")
+    return curated_invoices(rows) if outcome == CURATED else quarantined_invoices(rows)

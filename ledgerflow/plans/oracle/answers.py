@@ -155,6 +155,14 @@ _METRICS = {
     **_STEPS, "RetrievedChunks": "chunks_returned", "RetrievedChunksKept": "chunks_kept", "TopHitScore": "top_hit_score",
     "ContextBudgetUsedPct": "budget_share",
 }
+_DENSE = {
+    "dense": """SELECT TIMESTAMP '2024-06-01' + k * 2 * INTERVAL 1 SECOND AS asked_at,
+        ((((((1.0::DOUBLE + 2.0) + coalesce(sql_ms, 0)) + coalesce(rag_ms, 0)) + synth_ms + CASE WHEN k % 1800 < 300 THEN 5000 ELSE 0 END) + 0.5) + 0.25) AS latency_ms FROM log"""
+}
+_SLOW_STRETCHES = f"""SELECT 'query_p95' AS alert, 'all' AS subject, {stamp('min(m)', 'since')} FROM (
+    SELECT m, m - row_number() OVER (ORDER BY m) * INTERVAL 1 MINUTE AS island FROM (
+        SELECT DISTINCT grp AS m FROM ({_p('latency_ms', 0.95, "date_trunc('minute', asked_at)", 'dense')}) WHERE v > 3000) WHERE {{closed}})
+    GROUP BY island HAVING count(*) >= 5"""
 _DECLARED = codes(
     *[(f"{n}:{values.LATENCY_UNIT if n.endswith('Ms') else values.COUNT_UNIT}", f"({e}) IS NOT NULL") for n, e in _METRICS.items()]
 )
@@ -425,16 +433,10 @@ ORACLE = {
             GROUP BY island HAVING count(*) >= 2)""",
         "log", "runs", "questions", "cited",
     ),
-    "latency_alerts": sql(
-        f"""SELECT 'query_p95' AS alert, 'all' AS subject, {stamp('min(m)', 'since')} FROM (
-            SELECT m, m - row_number() OVER (ORDER BY m) * INTERVAL 1 MINUTE AS island FROM (
-                SELECT DISTINCT grp AS m FROM ({_p('latency_ms', 0.95, "date_trunc('minute', asked_at)", 'dense')}) WHERE v > 3000))
-            GROUP BY island HAVING count(*) >= 5""",
-        "log",
-        extra={
-            "dense": """SELECT TIMESTAMP '2024-06-01' + k * 2 * INTERVAL 1 SECOND AS asked_at,
-                ((((((1.0::DOUBLE + 2.0) + coalesce(sql_ms, 0)) + coalesce(rag_ms, 0)) + synth_ms + CASE WHEN k % 1800 < 300 THEN 5000 ELSE 0 END) + 0.5) + 0.25) AS latency_ms FROM log"""
-        },
+    "latency_alerts": sql(_SLOW_STRETCHES.format(closed="true"), "log", extra=_DENSE),
+    # Minutes that end half an hour before the newest row, as the watermark closes them.
+    "stream_latency_alerts": sql(
+        _SLOW_STRETCHES.format(closed="m + INTERVAL 1 MINUTE <= (SELECT max(asked_at) - INTERVAL 30 MINUTE FROM dense)"), "log", extra=_DENSE
     ),
     "context_budget_declared": sql(
         f"SELECT question_id, chunk_id, rank, CAST({_BUDGET} AS BIGINT) AS chars_used FROM many_hits QUALIFY {_BUDGET} <= 8000",

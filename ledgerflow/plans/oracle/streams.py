@@ -33,6 +33,12 @@ ORACLE = {
              range((messages + 4999) // 5000) AS r(b)""",
         "bronze",
     ),
+    "stream_stage_metrics": sql(
+        """SELECT "offset" % 3 AS batch_id, CAST(count(*) + sum(broken) + count(*) FILTER ("offset" % 103 = 0) AS DOUBLE) AS "RecordsIn",
+        CAST(count(*) + count(*) FILTER ("offset" % 103 = 0) AS DOUBLE) AS "RecordsOut", CAST(sum(broken) AS DOUBLE) AS "Quarantined"
+        FROM (SELECT "offset", CAST("offset" % 101 = 0 AS BIGINT) AS broken FROM bronze) GROUP BY ALL""",
+        "bronze",
+    ),
     "stream_dedup": sql(
         f"SELECT DISTINCT event_id, op, tenant_id, entity_id, {stamp('updated_at')}, payload_json FROM in_time", "bronze", extra=_TIMED
     ),
