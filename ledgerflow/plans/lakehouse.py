@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow import schemas
-from ledgerflow.operators import gold, quality, serving, snapshot, upsert
+from ledgerflow.operators import gold, partitioned, quality, serving, snapshot, upsert
 from ledgerflow.plans import inputs, medallion
 from ledgerflow.plans.common import materialize, portable, rounded
 from ledgerflow.session import work_dir
@@ -121,6 +121,20 @@ def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(upsert.merge(target, source, ["tenant_id", "invoice_id"]))
 
 
+def silver_partition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merge into a table by tenant and year of the state; newer states leave the year of the older ones."""
+    bronze = inputs.bronze_invoices(spark, sf_dir)
+    early = bronze.where((F.col("op") == "create") & (F.col("source_sequence") % 4 != 0))
+    year = F.date_format("updated_at", "yyyy")
+    before = snapshot.curated_invoices(snapshot.validate_invoices(snapshot.invoice_candidates(early))).withColumn("year", year)
+    base, by = work_dir(spark, "silver-partitions"), ["tenant_id", "year"]
+    partitioned.create(before, base, by)
+    changed = F.substr("invoice_id", F.lit(5)).cast("long") % 3 != 1
+    source = materialize(medallion.silver(spark, sf_dir).where(changed).withColumn("year", year), "curated")
+    partitioned.merge(source, base, ["tenant_id", "invoice_id"], by, 1)
+    return portable(partitioned.read(spark, base, source.schema, by).drop("year"))
+
+
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers known to the change feed win over the rows of the customer table."""
     known = medallion.customers(spark, sf_dir).select("tenant_id", "customer_id", "customer_name")
@@ -206,7 +220,7 @@ QUERIES = {
     for f in (
         cdc_decode, oltp_snapshot, oltp_customers, oltp_engagements, oltp_controls, dedup_events, latest_state, payload_extract, silver_candidates, quality_errors,
         quality_error_counts, silver_curated, silver_quarantine, silver_reconciliation, silver_snapshot_generic,
-        quarantine_append, silver_merge, insert_if_absent, gold_invoice_summary, gold_partitions,
+        quarantine_append, silver_merge, silver_partition_merge, insert_if_absent, gold_invoice_summary, gold_partitions,
         bronze_partitions, silver_partitions, quarantine_partitions, v_invoice_summary,
         v_control_exceptions, control_exceptions, overdue_total, overdue_total_month, open_invoice_count,
         aging_bucket_totals, customer_balance, engagement_status,

@@ -161,3 +161,4 @@ ORACLE = {
         "engagements",
     ),
 }
+ORACLE["silver_partition_merge"] = f"SELECT * EXCLUDE (first_batch) FROM ({ORACLE['silver_merge']})"
