@@ -28,8 +28,8 @@ def run(spark, rows, asks, k=5):
 
 @pytest.mark.parametrize("seed, dims, n", [(1, 8, 400), (2, 3, 900), (3, 64, 300)])
 def test_equals_brute_force(spark, monkeypatch, seed, dims, n):
-    monkeypatch.setattr(topk, "CANDIDATES", 128)
-    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * dims * 64)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 8 * dims * 16)
     draw = random.Random(seed)
     rows = [(i, [draw.gauss(0, 0.4) for _ in range(dims)]) for i in range(n)]
     rows += [(n + i, rows[7][1]) for i in range(200)]
@@ -60,3 +60,26 @@ def test_bounds_hold_at_every_depth():
         assert (lower <= exact).all() and (exact <= upper).all()
         widths.append((upper - lower).mean())
     assert widths == sorted(widths, reverse=True) and widths[-1] == 0
+
+
+def test_only_candidates_that_can_qualify_are_scored():
+    draw = np.random.default_rng(9)
+    # Each query has near ones among many others, as with embeddings of texts on one subject.
+    centres = draw.normal(0, 1, (40, 16)) * (draw.random((40, 16)) < 0.3)
+    values = np.floor(256 * (centres[draw.integers(0, 40, 8000)] + draw.normal(0, 0.05, (8000, 16))))
+    queries, ids = values[:50], np.arange(8000)
+    search = topk.Search(ids[:50], queries, 5)
+    for at in range(0, 8000, 1000):
+        search.offer(ids[at : at + 1000], values[at : at + 1000])
+    exact = queries @ values.T
+    for q in range(50):
+        order = sorted((c for c in range(8000) if c != q), key=lambda c: (-exact[q, c], c))[:5]
+        assert [(i, s) for x, i, s in search.results() if x == q] == [(c, int(exact[q, c])) for c in order]
+    assert search.scored < 0.05 * 50 * 8000
+
+
+def test_vectors_move_once(spark):
+    frame = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(*[F.rand(i) for i in range(8)]).alias("embedding"))
+    plan = topk.top_k(frame, F.col("vec_id") % 50 == 0)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical and physical.count("RoundRobinPartitioning") == 1
