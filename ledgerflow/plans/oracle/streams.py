@@ -24,6 +24,18 @@ _TIMED = {
         (SELECT max(m.newest) - INTERVAL 2 HOUR FROM marks m WHERE m.delivery < a.delivery), TIMESTAMP '1970-01-01')""",
 }
 
+# Copies of an event are one session while each is emitted within two hours after the one before and finds it not closed yet.
+_SESSIONS = {
+    **{name: _TIMED[name] for name in ("arrived", "marks")},
+    "marked": """SELECT a.*, coalesce((SELECT max(m.newest) - INTERVAL 2 HOUR FROM marks m WHERE m.delivery < a.delivery), TIMESTAMP '1970-01-01') AS mark
+        FROM arrived a""",
+    "neighbours": """SELECT *, lag(emitted_at) OVER w + INTERVAL 2 HOUR AS former_end, lag(delivery) OVER w AS former_delivery
+        FROM marked WHERE emitted_at + INTERVAL 2 HOUR > mark WINDOW w AS (PARTITION BY event_id ORDER BY emitted_at, source_sequence, "offset")""",
+    "sessions": """SELECT *, count(*) FILTER (former_end IS NULL OR emitted_at > former_end OR (former_delivery < delivery AND former_end <= mark))
+        OVER (PARTITION BY event_id ORDER BY emitted_at, source_sequence, "offset") AS session FROM neighbours""",
+    "last_copy": newest("sessions", "event_id, session", "emitted_at", "source_sequence", '"offset"'),
+}
+
 ORACLE = {
     "cdc_stream_ingest": LAKEHOUSE["cdc_decode"],
     # Full batches of the most messages, and what is left.
@@ -42,6 +54,11 @@ ORACLE = {
     "stream_dedup": sql(
         f"SELECT DISTINCT event_id, op, tenant_id, entity_id, {stamp('updated_at')}, payload_json FROM in_time", "bronze", extra=_TIMED
     ),
+    "stream_last_copy": sql(
+        f"""SELECT event_id, op, tenant_id, entity_id, {stamp('updated_at')}, payload_json, {stamp('emitted_at')}, source_sequence, "offset"
+        FROM last_copy WHERE emitted_at + INTERVAL 2 HOUR <= (SELECT max(newest) - INTERVAL 2 HOUR FROM marks)""",
+        "bronze", extra=_SESSIONS,
+    ),
     "stream_latest_state": sql(
         f"""SELECT {SILVER} FROM batch_checked WHERE quality_errors = ''
         QUALIFY row_number() OVER (PARTITION BY tenant_id, invoice_id ORDER BY updated_at DESC, source_sequence DESC, emitted_at DESC, event_id DESC) = 1""",
