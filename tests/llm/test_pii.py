@@ -140,3 +140,20 @@ def test_iban_check_digits(spark):
     assert forms == {i: [int(i < len(good))] for i in range(len(rows))}
     spans = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "iban"] for r in pii.personal_data(docs).collect()}
     assert not any(spans[i] for i in range(len(good), len(rows)))
+
+
+def test_spans_far_apart_and_over_pages(spark):
+    draw = random.Random(3)
+    texts = []
+    for _ in range(30):
+        parts = ["\u00e4" * draw.choice([0, 1, 50, 4090, 4096, 9000]) + " " + draw.choice(["ab@cd.org", "+49 30 1234567", "8.8.8.8", "030-123-4567"]) + " " for _ in range(draw.randint(1, 12))]
+        texts.append("".join(parts) + "end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    for r in pii.redacted(docs).collect():
+        text, out, at = texts[r["doc_id"]], [], 0
+        for s in sorted(spans[r["doc_id"]], key=lambda s: (s["start"], -s["end"])):
+            if s["start"] >= at:
+                out += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+            at = max(at, s["end"])
+        assert r["text"] == "".join(out) + text[at:]
