@@ -80,3 +80,59 @@ def test_odd_rows(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 4}) == 1
     assert {r["score"] for r in quality.quality_scores(docs, trusted.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(docs.limit(0), trusted).count() == 0
+
+
+def slow_prior(positive, unlabelled):
+    """Threshold after threshold: the smallest ratio of the shares above it, while enough positives are above."""
+    ratios = []
+    for low in range(quality.BINS):
+        p, u = sum(positive[low:]) / sum(positive), sum(unlabelled[low:]) / sum(unlabelled)
+        if p >= quality.LEAST_MASS:
+            ratios.append(u / p)
+    return min(0.99, max(0.01, min(ratios)))
+
+
+def slow_calibration(positive, unlabelled, prior):
+    """The rising fit by its max-min formula over all runs of bins."""
+    p, u = np.r_[0, np.cumsum(prior * positive / positive.sum())], np.r_[0, np.cumsum(unlabelled / unlabelled.sum() + 1e-9)]
+    found = []
+    for at in range(quality.BINS):
+        lows, highs = np.arange(at + 1)[:, None], np.arange(at + 1, quality.BINS + 1)[None]
+        found.append(((p[highs] - p[lows]) / (u[highs] - u[lows])).min(axis=1).max())
+    return np.clip(found, 0.0, 1.0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prior_and_calibration_equal_the_definition(seed):
+    draw = np.random.default_rng(seed)
+    place = np.linspace(0, 1, quality.BINS)
+    positive = draw.poisson(30 * place**2).astype(float)
+    unlabelled = draw.poisson(40 * (0.6 * place**2 + 0.4 * (1 - place) ** 2)).astype(float)
+    prior = quality.class_prior(positive, unlabelled)
+    assert np.isclose(prior, slow_prior(positive, unlabelled))
+    assert np.allclose(quality.calibration(positive, unlabelled, prior), slow_calibration(positive, unlabelled, prior), atol=1e-6)
+
+
+def test_fit_is_near_the_least_risk_over_rows():
+    draw = np.random.default_rng(6)
+    wide = lambda x: np.hstack([x, np.zeros((len(x), quality.WIDTH - x.shape[1] - 1)), np.ones((len(x), 1))])
+    p, u = wide(draw.normal(size=(40, 3)) + [1.5, 0, 0]), wide(np.vstack([draw.normal(size=(60, 3)) + [1.5, 0, 0], draw.normal(size=(60, 3)) - [1.5, 0, 0]]))
+    prior, ridge = 0.5, quality.RIDGE + quality.RIDGE_ROWS / len(p)
+
+    def risk(w):
+        mean = lambda rows, sign: sum((1.0 - sign * float(w @ x)) ** 2 / 4.0 for x in rows) / len(rows)
+        return prior * mean(p, 1) + max(0.0, mean(u, -1) - prior * mean(p, -1)) + ridge * float(w @ w)
+
+    found = quality.fit(p.T @ p, u.T @ u, prior)
+    least = risk(found)
+    # No small or large step along a coordinate, nor any of many random points, does clearly better.
+    used = [0, 1, 2, quality.WIDTH - 1]
+    for at in used:
+        for step in (-0.3, -0.05, 0.05, 0.3):
+            moved = found.copy()
+            moved[at] += step
+            assert risk(moved) >= least - 1e-3
+    for _ in range(200):
+        point = np.zeros(quality.WIDTH)
+        point[used] = draw.normal(size=4)
+        assert risk(point) >= least - 1e-3
