@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import guardrails, retrieval, routing, serving
+from ledgerflow.session import materialize
 
 
 def answer_questions(
@@ -20,7 +21,8 @@ def answer_questions(
     routed = routing.route_questions(allowed)
     exact = serving.overdue_total(gold)
     asks_documents = routed.where(F.col("route") != "sql")
-    hits = retrieval.with_content(retrieval.lexical_topk(asks_documents, index, k=k), index)
+    # The search is read by the budget, the summary and the citations: it is done once.
+    hits = retrieval.with_content(materialize(retrieval.lexical_topk(asks_documents, index, k=k), "hits"), index)
     kept = guardrails.context_budget(hits, max_chars)
     summary = guardrails.retrieval_summary(asks_documents, hits, kept, max_chars)
     cited = kept.groupBy("question_id").agg(
