@@ -191,3 +191,21 @@ def test_owners_of_blocks_are_found_once(spark):
     """Texts are looked up by grouping the owners by document; a join of the owners with themselves would find them twice."""
     plan = ocr.key_values(ocr.blocks(inputs.ocr_results(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") == 1
+
+
+def test_only_useful_blocks_are_shuffled_and_once_by_document(spark):
+    graph = [
+        block("t", "TABLE", child=["c", "w", "gone"], value=["c"]),
+        block("c", "CELL", child=["w", "l"], value=["w"]),
+        block("l", "LINE", "not a word", child=["w"]),
+        block("k", "KEY_VALUE_SET", entity=["KEY"], child=["w"], value=["l", "gone"]),
+        block("j", "KEY_VALUE_SET", entity=["KEY"], child=["w"], value=["gone", "l"]),
+        block("w", "WORD", "word"),
+    ]
+    results = spark.createDataFrame([("t", "d", graph), (None, "n", graph)], schemas.OCR_RESULT)
+    rows = ocr.blocks(results)
+    assert {r["document_id"]: r["table"] for r in ocr.tables(rows).collect()} == {"d": [["word"]], "n": []}
+    assert sorted((r["position"], r["key"], r["value"]) for r in ocr.key_values(rows).collect()) == [(3, "word", ""), (4, "word", "word")]
+    for found, most in ((ocr.tables(rows), 5), (ocr.key_values(rows), 3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most
